@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmeta.plans import records
+from lexmeta.plans import matching, metrics, records, reports, selection
 
-MODULES = [records]
+MODULES = [records, selection, matching, metrics, reports]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,4 +17,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: s for m in MODULES for name, s in m.ORACLES.items()}
-FLAGSHIP = "p1_found"
+FLAGSHIP = "d6_r_syn"
