@@ -73,6 +73,10 @@ class PairModel:
         kind, key, n = (rows.column(c).to_numpy() for c in ("kind", "key", "n"))
         return cls(*((key[kind == k], n[kind == k]) for k in (0, 1)))
 
+    def state(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """What the model is made of again; plain arrays, which executors read without this package."""
+        return (self.char_keys, self.char_counts), (self.pair_keys, self.pair_counts)
+
     @staticmethod
     def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         if not len(keys):

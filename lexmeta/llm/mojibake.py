@@ -247,12 +247,12 @@ def find_garbled(values: DataFrame, models: dict[str, PairModel], keys: list[str
     mappings. The models are broadcast: each is of bounded size (see charmodel).
     """
     spark = values.sparkSession
-    shared = spark.sparkContext.broadcast(models)
+    shared = spark.sparkContext.broadcast({f: m.state() for f, m in models.items()})
     types = dict(values.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", field STRING, restored STRING, mapping STRING, lossless BOOLEAN"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = {f: Repairer(m) for f, m in shared.value.items()}
+        tools = {f: Repairer(PairModel(*m)) for f, m in shared.value.items()}
         for batch in batches:
             fields, texts = batch.column("field").to_pylist(), batch.column("value").to_pylist()
             hits, found = [], []

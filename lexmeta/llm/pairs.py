@@ -47,7 +47,16 @@ FOREIGN_WORDS = (
     "|le|la|les|des|une|un|du|et|pour|dans|avec|cette|est|sur|qui|au|malgre|der|die|das|und|mit|nach|den|dem|ist|ein|eine|hat|fur|von"
     "|el|los|las|una|para|por|con|del|que|se|su|di|yang|dan|untuk|dengan|ini|itu|dari|pada|akan|telah|sudah|sampai|tidak|il|per|che|della|os|uma|nao"
 )
-NEVER_VIETNAMESE = r"\b(?:the|of|and|with|for|was|were|from|that|which|after|before|because|has|have|than|more|this|les|des|une|pour|dans|avec|cette|est|der|die|das|und|mit|den|dem|ist|eine|hat|los|las|una|para|por|del|yang|untuk|dengan|dari|pada|telah|sudah|sampai|tidak|della)\b"
+NEVER_VIETNAMESE = (
+    "the|of|and|with|for|was|were|from|that|which|after|before|because|has|have|than|more|this|les|des|une|pour|dans|avec|cette|est|der|die|das|und|mit|den|dem|ist|eine|hat|los|las|una|para|por|del"
+    "|yang|untuk|dengan|dari|pada|telah|sudah|sampai|tidak|della"
+)
+#: Parts of which every refusal has one; only texts with one get as far as the patterns.
+REFUSAL_PARTS = (
+    "khong the|không thể|khong duoc|không được|khong co|không có|khong ho|không hỗ|chua the|chưa thể|xin khong|xin không|tiec khong|tiếc không|phep khong|phép không|tu choi|từ chối|khong dich|không dịch"
+    "|khong xu|không xử|khong tra|không trả|khong chuyen|không chuyển|khong thuc|không thực|can't|can’t|cannot|can not|could|unable|not able|won't|won’t|will not|not allowed|not permitted|decline|refuse"
+    "|not have|n't have|as an ai|mô hình ngôn ngữ|mo hinh ngon ngu|language model|xin lỗi|xin loi|rất tiếc|rat tiec|sorry|apolog|unfortunately|regret|无法|不能|不便|不可以|不允许|没法|没有办法|不予|拒绝|抱歉|对不起|遗憾|不好意思|原谅|模型"
+)
 
 VOTES = {
     "empty": ["v_nothing", "v_stand_in", "v_tiny"],
@@ -66,68 +75,80 @@ def _q(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _in(words: str) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words.split("|")) + ")"
+
+
+def _any_part(column: str, parts: str) -> str:
+    return "(" + " OR ".join(f"contains({column}, {_q(p)})" for p in parts.split("|")) + ")"
+
+
 def votes(df: DataFrame, key: list[str], source: str, answer: str) -> DataFrame:
-    """The votes of all functions but the trigram one, for answers in regular form."""
-    low = truncation.fold(f"lower({answer})")
-    base = df.select(
-        *key, F.col(source).alias("_s"), F.col(answer).alias("_a"), F.expr(low).alias("_f"),
-        F.expr(_han(source)).alias("_hs"), F.expr(_han(answer)).alias("_ha"),
-    )
-    words = r"filter(split(regexp_replace(_f, '[^\\p{L}]+', ' '), ' '), w -> w <> '')"
-    stand_in = " OR ".join(f"_strip = {_q(w)}" for w in STAND_INS)
-    shaped = base.selectExpr(
+    """The votes of all functions but the trigram one, for answers in regular form.
+
+    Costly patterns come after cheap conditions that they need to hold: refusals have one of a few words, copies have
+    Han letters, and a text with many Vietnamese marks is in no other language.
+    """
+    base = df.select(*key, F.col(source).alias("_s"), F.col(answer).alias("_a"), F.lower(answer).alias("_l"))
+    stand_in = f"_strip IN ({', '.join(_q(w) for w in STAND_INS)})"
+    sized = base.selectExpr(
         "*",
-        r"regexp_replace(_a, '[\\p{Z}\\p{C}\\s]+', '') AS _solid",
-        r"lower(trim(regexp_replace(_a, '^[\\p{P}\\p{S}\\p{Z}\\s]+|[\\p{P}\\p{S}\\p{Z}\\s]+$', ''))) AS _strip",
-        f"{words} AS _w",
+        "length(_a) AS _len",
+        f"length(_l) - length(translate(_l, '{MARKED}', '')) AS _n_marks",
+        r"length(regexp_replace(_a, '[^\\p{IsHan}]+', '')) AS _n_han",
+        f"{_any_part('_l', REFUSAL_PARTS)} AS _maybe_refusal",
+        "size(split(_a, ' ')) AS _blanks",
     ).selectExpr(
         "*",
-        f"size(filter(_w, w -> w RLIKE {_q(SYLLABLE)})) / greatest(size(_w), 1) AS _syllables",
+        "_n_marks < 0.3 * _blanks AS _maybe_foreign",
+        rf"CASE WHEN _len <= 40 THEN lower(trim(regexp_replace(_a, '^[\\p{{P}}\\p{{S}}\\p{{Z}}\\s]+|[\\p{{P}}\\p{{S}}\\p{{Z}}\\s]+$', ''))) END AS _strip",
+        r"CASE WHEN _len <= 40 OR _maybe_refusal OR _n_marks < 0.3 * _blanks THEN length(regexp_replace(_a, '[\\p{Z}\\p{C}\\s]+', '')) ELSE _len END AS _solid",
+        f"CASE WHEN _maybe_refusal OR _n_marks < 0.3 * _blanks THEN {truncation.fold('_l')} END AS _f",
         # Only answers with Han letters get as far as comparing grams with the source.
+        rf"CASE WHEN _n_han >= 5 THEN {_han('_s')} END AS _hs",
+        rf"CASE WHEN _n_han >= 5 THEN {_han('_a')} END AS _ha",
+    ).selectExpr(
+        "*",
+        r"CASE WHEN _maybe_foreign THEN filter(split(regexp_replace(_f, '[^\\p{L}]+', ' '), ' '), w -> w <> '') END AS _w",
+        r"CASE WHEN _maybe_foreign OR _n_han >= 5 THEN length(regexp_replace(_a, '[^\\p{L}]', '')) END AS _letters",
         """CASE WHEN length(_ha) >= 5 AND length(_hs) >= 5 THEN transform(array(struct(
              transform(sequence(1, length(_hs) - 2), i -> substring(_hs, i, 3)) AS s, transform(sequence(1, length(_ha) - 2), i -> substring(_ha, i, 3)) AS a)),
              x -> size(array_intersect(x.s, x.a)) / size(array_distinct(x.s)))[0] ELSE 0.0 END AS _grams""",
-        r"length(regexp_replace(_a, '[^\\p{L}]', '')) AS _letters",
-        f"length(regexp_replace(lower(_a), '[^{MARKED}]', '')) AS _n_marks",
-        r"length(regexp_replace(_a, '[^\\p{IsHan}]', '')) AS _n_han",
-        r"length(regexp_replace(_a, '[^\\p{IsHiragana}\\p{IsKatakana}\\p{IsHangul}\\p{IsThai}\\p{IsCyrillic}\\p{IsArabic}]', '')) AS _n_script",
-    )
+    ).selectExpr("*", f"CASE WHEN _maybe_foreign THEN size(filter(_w, w -> w RLIKE {_q(SYLLABLE)})) / greatest(size(_w), 1) END AS _syllables")
+    task = f"regexp_like(_f, {_q('(?:' + TASK + ')')})"
     yes = {
-        "v_nothing": r"_a IS NULL OR NOT regexp_like(_a, '[\\p{L}\\p{N}]')",
-        "v_stand_in": f"_a IS NOT NULL AND ({stand_in})",
-        "v_tiny": "_a IS NULL OR length(_solid) <= 9",
-        "v_unable": f"regexp_like(_f, {_q('(?:' + UNABLE + ')[^.!?。！？]{0,60}(?:' + TASK + ')')})",
-        "v_apology": f"regexp_like(_f, {_q('^[^.!?。！？]{0,12}(?:' + APOLOGY + ')')}) OR regexp_like(_f, 'as an ai|mo hinh ngon ngu|language model|作为.{{0,6}}模型')",
-        "v_self": f"regexp_like(lower(_a), {_q('^.{0,25}(?:' + SELF + ')')})",
-        "v_no_numbers": "_a IS NOT NULL AND length(_solid) > 9 AND regexp_like(_s, '[0-9]') AND NOT regexp_like(regexp_replace(_a, '[(（][^)）]*[)）]', ''), '[0-9]')",
-        "v_unlike_source": f"_a IS NOT NULL AND length(_solid) > 9 AND length(_solid) < 160 AND regexp_like(_f, {_q('(?:' + TASK + ')')}) AND regexp_like(_f, {_q('(?:' + UNABLE + ')')})",
-        "v_same": "_a IS NOT NULL AND length(_solid) > 4 AND _solid = regexp_replace(_s, '[\\\\p{Z}\\\\p{C}\\\\s]+', '')",
+        "v_nothing": r"_a IS NULL OR _len <= 40 AND NOT regexp_like(_a, '[\\p{L}\\p{N}]')",
+        "v_stand_in": stand_in,
+        "v_tiny": "_a IS NULL OR _len <= 40 AND _solid <= 9",
+        "v_unable": f"_maybe_refusal AND regexp_like(_f, {_q('(?:' + UNABLE + ')[^.!?。！？]{0,60}(?:' + TASK + ')')})",
+        "v_apology": f"_maybe_refusal AND (regexp_like(_f, {_q('^[^.!?。！？]{0,12}(?:' + APOLOGY + ')')}) OR regexp_like(_f, 'as an ai|mo hinh ngon ngu|language model|作为.{{0,6}}模型'))",
+        "v_self": f"_maybe_refusal AND regexp_like(_l, {_q('^.{0,25}(?:' + SELF + ')')})",
+        "v_no_numbers": "_len > 9 AND _len < 400 AND regexp_like(_s, '[0-9]') AND NOT regexp_like(regexp_replace(_a, '[(（][^)）]*[)）]', ''), '[0-9]')",
+        "v_unlike_source": f"_maybe_refusal AND _solid > 9 AND _solid < 160 AND {task} AND regexp_like(_f, {_q('(?:' + UNABLE + ')')})",
+        "v_same": "_len > 4 AND _n_marks < 0.3 * _blanks AND regexp_replace(_a, '[\\\\p{Z}\\\\p{C}\\\\s]+', '') = regexp_replace(_s, '[\\\\p{Z}\\\\p{C}\\\\s]+', '')",
         "v_source_grams": "_grams >= 0.6",
         "v_source_part": "length(_hs) >= 4 AND instr(_ha, substring(_hs, 1, 8)) > 0",
         "v_han": "_n_han >= 5 AND _n_han >= 0.3 * _letters",
-        "v_no_syllables": "size(_w) >= 3 AND _syllables < 0.62 AND length(_solid) > 9 AND _n_marks < 0.3 * size(_w) OR _n_han >= 5 AND _n_han >= 0.5 * _letters",
-        "v_foreign_words": f"size(filter(_w, w -> w RLIKE {_q('^(?:' + FOREIGN_WORDS + ')$')})) >= 0.15 * size(_w) AND regexp_like(_f, {_q(NEVER_VIETNAMESE)})",
-        "v_script": "_letters > 0 AND (_n_script >= 0.2 * _letters OR _n_han >= 0.5 * _letters AND _n_han >= 5)",
-        "v_no_marks_foreign": r"size(_w) >= 3 AND _syllables < 0.8 AND _n_marks = 0",
-        "v_no_final": r"size(_w) >= 2 AND NOT regexp_like(_a, '[.!?…。！？][”\"’»)）\\s]*[\\p{So}\\p{Sk}\\p{C}\\s\\x{FE0F}]*$')",
-        "v_short": "length(_hs) >= 12 AND size(_w) >= 2 AND _n_han = 0 AND size(_w) < 0.55 * length(_hs)",
-        "v_open_quote": r"size(_w) >= 2 AND length(regexp_replace(_a, '[^“]', '')) > length(regexp_replace(_a, '[^”]', ''))",
+        "v_no_syllables": "_maybe_foreign AND size(_w) >= 3 AND _syllables < 0.62 AND _solid > 9 OR _n_han >= 5 AND _n_han >= 0.5 * _letters",
+        "v_foreign_words": f"_maybe_foreign AND exists(_w, w -> w IN {_in(NEVER_VIETNAMESE)}) AND size(filter(_w, w -> w IN {_in(FOREIGN_WORDS)})) >= 0.15 * size(_w)",
+        "v_script": r"_n_han >= 5 AND _n_han >= 0.5 * _letters OR _maybe_foreign AND _letters > 0 AND length(regexp_replace(_a, '[^\\p{IsHiragana}\\p{IsKatakana}\\p{IsHangul}\\p{IsThai}\\p{IsCyrillic}\\p{IsArabic}]', '')) >= 0.2 * _letters",
+        "v_no_marks_foreign": "_maybe_foreign AND size(_w) >= 3 AND _syllables < 0.8 AND _n_marks = 0",
+        "v_no_final": r"_blanks >= 2 AND NOT regexp_like(_a, '[.!?…。！？][^\\p{L}\\p{N}.!?…。！？]*$')",
+        "v_short": r"_n_han = 0 AND _blanks >= 2 AND length(_s) >= 12 AND _blanks < 0.55 * length(regexp_replace(_s, '[^\\p{IsHan}]+', ''))",
+        "v_open_quote": "_blanks >= 2 AND length(replace(_a, '”', '')) - length(replace(_a, '“', '')) > 0",
     }
-    return shaped.select(*key, *[F.expr(f"CAST(coalesce({e}, false) AS INT)").alias(v) for v, e in yes.items()])
+    return sized.select(*key, *[F.expr(f"CAST(coalesce({e}, false) AS INT)").alias(v) for v, e in yes.items()])
 
 
-def all_votes(rows: DataFrame, key: str, source: str, answers: list[str], corpus: DataFrame | None = None, cut: bool = True) -> DataFrame:
-    """One row per key and answer field with every vote; the trigram vote counts over ``corpus`` (``text``)."""
-    kinds = dict(rows.dtypes)
+def all_votes(rows: DataFrame, key: str, source: str, answers: list[str], counts: DataFrame | None) -> DataFrame:
+    """One row per key and answer field with every vote; the trigram vote goes by ``counts`` (None: it votes nowhere)."""
     pieces = ", ".join(f"'{a}', `{a}`" for a in answers)
     values = rows.selectExpr(f"`{key}` AS _key", f"`{source}` AS _src", f"stack({len(answers)}, {pieces}) AS (field, value)")
-    regular = regularize(values)
-    out = votes(regular, ["_key", "field"], "_src", "regular")
-    if not cut:
+    out = votes(regularize(values), ["_key", "field"], "_src", "regular")
+    if counts is None:
         return out.withColumn("v_cut_trigram", F.lit(0)).withColumnRenamed("_key", key)
-    both = regular.select(F.struct(F.col("_key").cast(kinds[key]).alias("k"), "field").alias("_id"), "regular")
-    corpus = corpus if corpus is not None else regular.select(F.col("regular").alias("text"))
-    found = truncation.find_cut(both, "_id", "regular", corpus, "text").select(F.col("_id.k").alias("_key"), F.col("_id.field").alias("field"), F.lit(1).alias("v_cut_trigram"))
+    both = values.select(F.struct(F.col("_key").alias("k"), "field").alias("_id"), "value")
+    found = truncation.find_cut(both, "_id", "value", counts).select(F.col("_id.k").alias("_key"), F.col("_id.field").alias("field"), F.lit(1).alias("v_cut_trigram"))
     joined = out.join(found, ["_key", "field"], "left").withColumn("v_cut_trigram", F.coalesce("v_cut_trigram", F.lit(0)))
     return joined.withColumnRenamed("_key", key)
 
@@ -151,14 +172,14 @@ def label_pairs(rows: DataFrame, key: str, source: str, answers: list[str], clea
     ``clean`` (a bounded table of sound pairs, with ``source`` and the first of its answers present) validates the
     cutoffs; without it they are 0.5. Rows without any label come out with an empty array.
     """
-    voted = all_votes(rows, key, source, answers, cut=cut).persist()
+    counts = truncation.count_grams(rows.select(F.explode(F.array(*answers)).alias("text")), "text").persist() if cut else None
+    voted = all_votes(rows, key, source, answers, counts).persist()
     cutoffs = dict.fromkeys(DEFECTS, 0.5)
     tables = {d: label_model.fit(*label_model.vote_patterns(voted, VOTES[d])) for d in DEFECTS if cut or d != "truncated"}
     if clean is not None:
         answer = next(a for a in answers if a in clean.columns)
         cases = planted(clean, clean_key, source, answer)
-        texts = rows.select(F.explode(F.array(*answers)).alias("text"))
-        checked = all_votes(cases, "case", "src", ["ans"], texts, cut=cut).join(cases.select("case", "truth"), "case")
+        checked = all_votes(cases, "case", "src", ["ans"], counts).join(cases.select("case", "truth"), "case")
         kept = [c for c in dict.fromkeys(v for d in tables for v in VOTES[d])]
         # At most six cases for each row of the clean table, which is of fixed size.
         sample = checked.select("truth", *kept).toPandas()

@@ -24,8 +24,8 @@ def _models(spark: SparkSession, d: str) -> dict[str, PairModel]:
     return {"source_zh": PairModel.fit(zh), "reference_vi": PairModel.fit(vi)}
 
 
-def _garbled(spark: SparkSession, d: str, values: DataFrame) -> DataFrame:
-    return mojibake.find_garbled(values, _models(spark, d), KEYS)
+def _garbled(spark: SparkSession, d: str, values: DataFrame, models: dict[str, PairModel] | None = None) -> DataFrame:
+    return mojibake.find_garbled(values, models or _models(spark, d), KEYS)
 
 
 def _values(rows: DataFrame, *fields: str) -> DataFrame:
@@ -65,7 +65,7 @@ def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
     return consensus.agreement(table(spark, d, "human_cross", "id", "system_id", "primary_rater", "primary_score", "cross_rater", "cross_score"))
 
 
-def _labels(spark: SparkSession, d: str, answers: list[str], cut: bool = True) -> DataFrame:
+def _labels(spark: SparkSession, d: str, answers: list[str], cut: bool = True, models: dict[str, PairModel] | None = None) -> DataFrame:
     rows = table(spark, d, "benchmark_row", "row_id", "source_zh", *answers)
     clean = table(spark, d, "heldout_item", "item_id", "source_zh", "reference_vi")
     if "reference_vi" not in answers:
@@ -75,7 +75,7 @@ def _labels(spark: SparkSession, d: str, answers: list[str], cut: bool = True) -
         return found
     # Values that were read with a wrong encoding have a defect of another kind.
     suspects = found.where("field = 'reference_vi'").join(rows.select("row_id", "reference_vi"), "row_id").select("row_id", "field", F.col("reference_vi").alias("value"))
-    return found.join(_garbled(spark, d, suspects).select("row_id", "field"), ["row_id", "field"], "left_anti")
+    return found.join(_garbled(spark, d, suspects, models).select("row_id", "field"), ["row_id", "field"], "left_anti")
 
 
 def p4_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -95,17 +95,18 @@ def p5_regular(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "benchmark_row", "row_id", "source_zh", "reference_vi", "prediction_vi")
-    changed = confusables.regularize(_values(rows, "source_zh", "reference_vi", "prediction_vi")).where("NOT value <=> regular")
-    garbled = _garbled(spark, d, changed.where("field <> 'prediction_vi'").select("row_id", "field", "value"))
-    other = garbled.select("row_id", "field").union(p4_labels(spark, d).select("row_id", "field"))
-    return changed.select("row_id", "field").join(other, ["row_id", "field"], "left_anti")
+    changed = confusables.regularize(_values(rows, "source_zh", "reference_vi", "prediction_vi")).where("NOT value <=> regular").select("row_id", "field", "value").persist()
+    models = _models(spark, d)
+    garbled = _garbled(spark, d, changed.where("field <> 'prediction_vi'"), models).select("row_id", "field")
+    defective = _labels(spark, d, ["prediction_vi", "reference_vi"], models=models).select("row_id", "field")
+    return changed.select("row_id", "field").join(garbled.union(defective), ["row_id", "field"], "left_anti")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Cut predictions; those with a defect that comes first (nothing to read, refusal, copy, other language) are no cuts."""
     rows = table(spark, d, "benchmark_row", "row_id", "prediction_vi", "reference_vi")
     texts = rows.select(F.explode(F.array("prediction_vi", "reference_vi")).alias("text"))
-    cut = truncation.find_cut(rows, "row_id", "prediction_vi", texts, "text")
+    cut = truncation.find_cut(rows, "row_id", "prediction_vi", truncation.count_grams(texts, "text"))
     return cut.select("row_id").join(_labels(spark, d, ["prediction_vi"], cut=False).select("row_id"), "row_id", "left_anti")
 
 
