@@ -79,6 +79,6 @@ def prefer_no_device(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(normal_key(key).alias(key)).agg(F.min_by(value, order).alias(value))
 
 
-def short_number(value: Column, digits: int = 4) -> Column:
+def short_number(value: Column, digits: int = 5) -> Column:
     """``digits`` digits and no leading zero; null gives an empty text."""
     return F.when(value.isNull(), "").otherwise(F.regexp_replace(F.format_string(f"%.{digits}f", value), r"^0\.", "."))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmeta.plans import matching, metrics, records, reports, selection
+from lexmeta.plans import further, matching, metrics, records, reports, selection
 
-MODULES = [records, selection, matching, metrics, reports]
+MODULES = [records, selection, matching, metrics, reports, further]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -149,8 +149,10 @@ def g2_strip_tone(spark, d):
     return table(spark, d, "benchmark_row", "row_id", "reference_vi").select("row_id", T.strip_tone("reference_vi").alias("toneless"))
 
 
+_LATIN = r"^[\x00-\x7f\xc0-ɏḀ-ỿ̀-ͯ“”…]*$"
+_LATIN_SQL = r"[\x00-\x7f\x{{c0}}-\x{{24f}}\x{{1e00}}-\x{{1eff}}\x{{300}}-\x{{36f}}“”…]*".replace("{{", "{").replace("}}", "}")
 _W = r"CASE WHEN trim(regexp_replace(reference_vi, '[\s\p{Z}]+', ' ', 'g')) = '' THEN []::VARCHAR[] ELSE string_split(trim(regexp_replace(reference_vi, '[\s\p{Z}]+', ' ', 'g')), ' ') END"
-_PLACES = "list_sort(list_transform(range(0, len(w)), lambda i: {{'h': md5(concat_ws('|', item_id::VARCHAR, '{n}', i::VARCHAR)), 'i': i}}))"
+_PLACES = "list_sort(list_transform(range(0, len(w)), lambda i: {{'h': md5(concat_ws('|', row_id::VARCHAR, '{n}', i::VARCHAR)), 'i': i}}))"
 _KEEP = "greatest(1, round_even(len(w) * {f}::DOUBLE, 0)::INT)"
 
 
@@ -159,16 +161,16 @@ def _dropped(n: int, f: float) -> str:
     return f"CASE WHEN len(w) < 3 THEN w ELSE list_transform({chosen}, lambda i: w[i + 1]) END"
 
 
-@R.add(rf"""WITH b AS (SELECT item_id, reference_vi, {_W} AS w FROM heldout_item), p AS (SELECT *, list_transform(w, lambda x: strip_accents(x)) AS plain, {_dropped(3, 0.85)} AS k3, {_dropped(4, 0.7)} AS k4, {_dropped(5, 0.5)} AS k5 FROM b),
+@R.add(rf"""WITH b AS (SELECT row_id, reference_vi, {_W} AS w FROM benchmark_row WHERE regexp_full_match(reference_vi, '{_LATIN_SQL}')), p AS (SELECT *, list_transform(w, lambda x: strip_accents(x)) AS plain, {_dropped(3, 0.85)} AS k3, {_dropped(4, 0.7)} AS k4, {_dropped(5, 0.5)} AS k5 FROM b),
  f AS (SELECT *, coalesce(list_position(list_transform(range(1, len(w) + 1), lambda i: w[i] <> plain[i]), true), 0) AS first FROM p)
-SELECT item_id, l AS damage_level, CASE l WHEN 0 THEN reference_vi WHEN 1 THEN array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i = first THEN plain[i] ELSE w[i] END), ' ')
+SELECT row_id, l AS damage_level, CASE l WHEN 0 THEN reference_vi WHEN 1 THEN array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i = first THEN plain[i] ELSE w[i] END), ' ')
   WHEN 2 THEN array_to_string(CASE WHEN len(w) > 4 THEN plain[:len(w) // 2] || plain[len(w) // 2 + 2:] ELSE plain END, ' ') WHEN 3 THEN array_to_string(k3, ' ')
   WHEN 4 THEN array_to_string(CASE WHEN len(k4) > 3 THEN [k4[2], k4[1]] || k4[3:] ELSE k4 END, ' ') ELSE trim(regexp_replace(array_to_string(k5, ' '), '[,.!?;:]+', '', 'g')) END AS damaged_vi
 FROM f, range(6) r(l)""")
 def g7_rule_damage(spark, d):
-    """Six damage levels of the held-out references by rule."""
-    grid = matching.damage_grid(table(spark, d, "heldout_item", "item_id", "reference_vi"))
-    return damage.damaged(grid, "item_id", "reference_vi").select("item_id", F.col("damage_level").cast("long").alias("damage_level"), "damaged_vi")
+    """Six damage levels of the references by rule (Latin texts)."""
+    grid = matching.damage_grid(table(spark, d, "benchmark_row", "row_id", "reference_vi").where(F.col("reference_vi").rlike(_LATIN)))
+    return damage.damaged(grid, "row_id", "reference_vi").select("row_id", F.col("damage_level").cast("long").alias("damage_level"), "damaged_vi")
 
 
 @R.add()
@@ -215,12 +217,12 @@ def g18_classify_errors(spark, d):
     return e.groupBy("error", parsing.error_class("error").alias("class")).agg(F.count("*").alias("n"))
 
 
-@R.add("SELECT item_id, sha256(concat_ws('|', item_id::VARCHAR, 'zero_shot', '3')) AS digest, 'Level 3: ' || coalesce(source_zh, '') || ' / ' || coalesce(reference_vi, '') AS prompt FROM heldout_item")
+@R.add("SELECT row_id, sha256(concat_ws('|', row_id::VARCHAR, 'zero_shot', '3')) AS digest, 'Level 3: ' || coalesce(source_zh, '') || ' / ' || coalesce(reference_vi, '') AS prompt FROM benchmark_row")
 def g21_prompts(spark, d):
     """Prompts by template with null guards (g19), and the digest of their run key (g22)."""
-    rows = table(spark, d, "heldout_item")
-    key = F.concat_ws("|", F.col("item_id").cast("string"), F.lit("zero_shot"), F.lit("3"))
-    return rows.select("item_id", F.sha2(key, 256).alias("digest"), parsing.render("Level 3: {source_zh} / {reference_vi}").alias("prompt"))
+    rows = table(spark, d, "benchmark_row", "row_id", "source_zh", "reference_vi")
+    key = F.concat_ws("|", F.col("row_id").cast("string"), F.lit("zero_shot"), F.lit("3"))
+    return rows.select("row_id", F.sha2(key, 256).alias("digest"), parsing.render("Level 3: {source_zh} / {reference_vi}").alias("prompt"))
 
 
 @R.add(f"""WITH {Q.scores("SELECT damage_id, reference_vi, prediction_vi FROM damage_row WHERE damage_level IS NOT NULL", "damage_id", "r_")}, s AS (SELECT w.damage_id, d.damage_level, d.prediction_vi, d.reference_vi, ROUND(w.rouge_1, 9) AS score FROM r_wide w JOIN damage_row d USING (damage_id)),
@@ -243,9 +245,9 @@ def g27_length_penalty(spark, d):
     return rows.select("damage_id", F.round(rewards.length_penalty(n("prediction_vi"), n("reference_vi")), 6).alias("penalty"))
 
 
-@R.add("SELECT row_id, CASE WHEN human_score IS NULL THEN '' ELSE regexp_replace(format('{:.4f}', human_score / 1000), '^0\\.', '.') END AS shown FROM benchmark_row")
+@R.add("SELECT row_id, CASE WHEN human_score IS NULL THEN '' ELSE regexp_replace(format('{:.5f}', human_score / 1000), '^0\\.', '.') END AS shown FROM benchmark_row")
 def g28_number_format(spark, d):
-    """Scores with four digits and no leading zero."""
+    """Scores with five digits and no leading zero."""
     return table(spark, d, "benchmark_row", "row_id", "human_score").select("row_id", parsing.short_number(F.col("human_score") / 1000).alias("shown"))
 
 

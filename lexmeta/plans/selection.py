@@ -44,10 +44,11 @@ def a6_explode_scores(spark, d):
     return named.where("score IS NOT NULL")
 
 
-@R.add("SELECT item_id AS ordinal, source_zh AS input, reference_vi AS reference FROM heldout_item")
+@R.add("SELECT row_id AS ordinal, source_zh AS input, reference_vi AS reference, prediction_vi AS prediction, system_id AS model_name, human_score AS processed_human_score FROM benchmark_row")
 def a7_as_examples(spark, d):
     """Benchmark columns under the names of generic examples."""
-    return table(spark, d, "heldout_item").selectExpr("item_id AS ordinal", "source_zh AS input", "reference_vi AS reference")
+    rows = table(spark, d, "benchmark_row", "row_id", "source_zh", "reference_vi", "prediction_vi", "system_id", "human_score")
+    return rows.toDF("ordinal", "input", "reference", "prediction", "model_name", "processed_human_score")
 
 
 @R.add("SELECT row_id, (human_score >= 85)::INT AS is_top FROM benchmark_row WHERE human_score BETWEEN 0 AND 100")
