@@ -142,6 +142,8 @@ class Repairer:
         best = None
         was = self._mean(run)
         for reader in (*ONE_BYTE, *MULTI_BYTE):
+            if best and best[3] and best[0] > 3:  # nothing lost and known text: the others can't do better
+                break
             rights = (*RIGHT_OF_ONE_BYTE, "tcvn3") if reader in ("cp1252", "latin-1") else RIGHT_OF_ONE_BYTE if reader in TABLES else ("utf-8", "gbk")
             pieces = list(_pieces(run, reader))
             for right in rights:

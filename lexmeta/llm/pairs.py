@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lexmeta.llm import label_model, truncation
 from lexmeta.llm.confusables import regularize
+from lexmeta.session import cut_lineage
 
 DEFECTS = ("empty", "refusal", "copy", "other_language", "truncated")
 
@@ -95,9 +96,13 @@ def votes(df: DataFrame, key: list[str], source: str, answer: str) -> DataFrame:
         "*",
         "length(_a) AS _len",
         f"length(_l) - length(translate(_l, '{MARKED}', '')) AS _n_marks",
-        r"length(regexp_replace(_a, '[^\\p{IsHan}]+', '')) AS _n_han",
         f"{_any_part('_l', REFUSAL_PARTS)} AS _maybe_refusal",
-        "size(split(_a, ' ')) AS _blanks",
+        "length(_a) - length(replace(_a, ' ', '')) + 1 AS _blanks",
+    ).selectExpr(
+        "*",
+        # Few marks, or many bytes between blanks: else there is no run of Han letters.
+        r"CASE WHEN _n_marks < 0.3 * _blanks OR octet_length(_a) > 9 * _blanks THEN length(regexp_replace(_a, '[^\\p{IsHan}]+', '')) ELSE 0 END AS _n_han",
+        r"_blanks >= 2 AND NOT regexp_like(_a, '[.!?…。！？][^\\p{L}\\p{N}.!?…。！？]*$') AS _open_end",
     ).selectExpr(
         "*",
         "_n_marks < 0.3 * _blanks AS _maybe_foreign",
@@ -123,7 +128,7 @@ def votes(df: DataFrame, key: list[str], source: str, answer: str) -> DataFrame:
         "v_unable": f"_maybe_refusal AND regexp_like(_f, {_q('(?:' + UNABLE + ')[^.!?。！？]{0,60}(?:' + TASK + ')')})",
         "v_apology": f"_maybe_refusal AND (regexp_like(_f, {_q('^[^.!?。！？]{0,12}(?:' + APOLOGY + ')')}) OR regexp_like(_f, 'as an ai|mo hinh ngon ngu|language model|作为.{{0,6}}模型'))",
         "v_self": f"_maybe_refusal AND regexp_like(_l, {_q('^.{0,25}(?:' + SELF + ')')})",
-        "v_no_numbers": "_len > 9 AND _len < 400 AND regexp_like(_s, '[0-9]') AND NOT regexp_like(regexp_replace(_a, '[(（][^)）]*[)）]', ''), '[0-9]')",
+        "v_no_numbers": "_maybe_refusal AND _len > 9 AND regexp_like(_s, '[0-9]') AND NOT regexp_like(regexp_replace(_a, '[(（][^)）]*[)）]', ''), '[0-9]')",
         "v_unlike_source": f"_maybe_refusal AND _solid > 9 AND _solid < 160 AND {task} AND regexp_like(_f, {_q('(?:' + UNABLE + ')')})",
         "v_same": "_len > 4 AND _n_marks < 0.3 * _blanks AND regexp_replace(_a, '[\\\\p{Z}\\\\p{C}\\\\s]+', '') = regexp_replace(_s, '[\\\\p{Z}\\\\p{C}\\\\s]+', '')",
         "v_source_grams": "_grams >= 0.6",
@@ -133,9 +138,9 @@ def votes(df: DataFrame, key: list[str], source: str, answer: str) -> DataFrame:
         "v_foreign_words": f"_maybe_foreign AND exists(_w, w -> w IN {_in(NEVER_VIETNAMESE)}) AND size(filter(_w, w -> w IN {_in(FOREIGN_WORDS)})) >= 0.15 * size(_w)",
         "v_script": r"_n_han >= 5 AND _n_han >= 0.5 * _letters OR _maybe_foreign AND _letters > 0 AND length(regexp_replace(_a, '[^\\p{IsHiragana}\\p{IsKatakana}\\p{IsHangul}\\p{IsThai}\\p{IsCyrillic}\\p{IsArabic}]', '')) >= 0.2 * _letters",
         "v_no_marks_foreign": "_maybe_foreign AND size(_w) >= 3 AND _syllables < 0.8 AND _n_marks = 0",
-        "v_no_final": r"_blanks >= 2 AND NOT regexp_like(_a, '[.!?…。！？][^\\p{L}\\p{N}.!?…。！？]*$')",
-        "v_short": r"_n_han = 0 AND _blanks >= 2 AND length(_s) >= 12 AND _blanks < 0.55 * length(regexp_replace(_s, '[^\\p{IsHan}]+', ''))",
-        "v_open_quote": "_blanks >= 2 AND length(replace(_a, '”', '')) - length(replace(_a, '“', '')) > 0",
+        "v_no_final": "_open_end",
+        "v_short": r"_open_end AND _n_han = 0 AND length(_s) >= 12 AND _blanks < 0.55 * length(regexp_replace(_s, '[^\\p{IsHan}]+', ''))",
+        "v_open_quote": "_open_end AND length(replace(_a, '”', '')) - length(replace(_a, '“', '')) > 0",
     }
     return sized.select(*key, *[F.expr(f"CAST(coalesce({e}, false) AS INT)").alias(v) for v, e in yes.items()])
 
@@ -172,7 +177,8 @@ def label_pairs(rows: DataFrame, key: str, source: str, answers: list[str], clea
     ``clean`` (a bounded table of sound pairs, with ``source`` and the first of its answers present) validates the
     cutoffs; without it they are 0.5. Rows without any label come out with an empty array.
     """
-    counts = truncation.count_grams(rows.select(F.explode(F.array(*answers)).alias("text")), "text").persist() if cut else None
+    # Written out, for it is read twice; a cached table wouldn't outlive the views of the first query.
+    counts = cut_lineage(truncation.count_grams(rows.select(F.explode(F.array(*answers)).alias("text")), "text")) if cut else None
     voted = all_votes(rows, key, source, answers, counts).persist()
     cutoffs = dict.fromkeys(DEFECTS, 0.5)
     tables = {d: label_model.fit(*label_model.vote_patterns(voted, VOTES[d])) for d in DEFECTS if cut or d != "truncated"}
@@ -186,6 +192,8 @@ def label_pairs(rows: DataFrame, key: str, source: str, answers: list[str], clea
         for d, table in tables.items():
             scores = np.array([table.get(tuple(int(x) for x in r), 0.0) for r in sample[VOTES[d]].to_numpy()])
             cutoffs[d] = label_model.best_cutoff(scores, (sample["truth"] == d).to_numpy())
-    post = voted.select(key, "field", *[label_model.posterior(VOTES[d], t).alias(d) for d, t in tables.items()])
-    labels = F.array_compact(F.array(*[F.when(F.col(d) > cutoffs[d], F.lit(d)) for d in tables]))
+    post = voted.select(key, "field", "v_cut_trigram", *[label_model.posterior(VOTES[d], t).alias(d) for d, t in tables.items()])
+    # The final trigram has the last word on cuts: the other votes alone can't tell a missing final mark from one.
+    sure = {d: F.col(d) > cutoffs[d] for d in tables} | ({"truncated": (F.col("truncated") > cutoffs["truncated"]) & (F.col("v_cut_trigram") == 1)} if cut else {})
+    labels = F.array_compact(F.array(*[F.when(sure[d], F.lit(d)) for d in tables]))
     return post.select(key, "field", labels.alias("labels"), F.struct(*tables).alias("posteriors"))
