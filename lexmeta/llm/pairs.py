@@ -95,20 +95,24 @@ def votes(df: DataFrame, key: list[str], source: str, answer: str) -> DataFrame:
     sized = base.selectExpr(
         "*",
         "length(_a) AS _len",
-        f"length(_l) - length(translate(_l, '{MARKED}', '')) AS _n_marks",
+        "octet_length(_a) AS _bytes",
         f"{_any_part('_l', REFUSAL_PARTS)} AS _maybe_refusal",
         "length(_a) - length(replace(_a, ' ', '')) + 1 AS _blanks",
     ).selectExpr(
         "*",
-        # Few marks, or many bytes between blanks: else there is no run of Han letters.
-        r"CASE WHEN _n_marks < 0.3 * _blanks OR octet_length(_a) > 9 * _blanks THEN length(regexp_replace(_a, '[^\\p{IsHan}]+', '')) ELSE 0 END AS _n_han",
+        # Few marks, or many bytes between blanks: else the text is Vietnamese, and has no run of Han letters.
+        "_bytes - _len < 0.6 * _blanks OR _bytes > 9 * _blanks AS _odd",
+    ).selectExpr(
+        "*",
+        f"CASE WHEN _odd THEN length(_l) - length(translate(_l, '{MARKED}', '')) END AS _n_marks",
+        r"CASE WHEN _odd THEN length(regexp_replace(_a, '[^\\p{IsHan}]+', '')) ELSE 0 END AS _n_han",
         r"_blanks >= 2 AND NOT regexp_like(_a, '[.!?…。！？][^\\p{L}\\p{N}.!?…。！？]*$') AS _open_end",
     ).selectExpr(
         "*",
-        "_n_marks < 0.3 * _blanks AS _maybe_foreign",
+        "_odd AND _n_marks < 0.3 * _blanks AS _maybe_foreign",
         rf"CASE WHEN _len <= 40 THEN lower(trim(regexp_replace(_a, '^[\\p{{P}}\\p{{S}}\\p{{Z}}\\s]+|[\\p{{P}}\\p{{S}}\\p{{Z}}\\s]+$', ''))) END AS _strip",
-        r"CASE WHEN _len <= 40 OR _maybe_refusal OR _n_marks < 0.3 * _blanks THEN length(regexp_replace(_a, '[\\p{Z}\\p{C}\\s]+', '')) ELSE _len END AS _solid",
-        f"CASE WHEN _maybe_refusal OR _n_marks < 0.3 * _blanks THEN {truncation.fold('_l')} END AS _f",
+        r"CASE WHEN _len <= 40 OR _maybe_refusal OR _odd THEN length(regexp_replace(_a, '[\\p{Z}\\p{C}\\s]+', '')) ELSE _len END AS _solid",
+        f"CASE WHEN _maybe_refusal OR _odd THEN {truncation.fold('_l')} END AS _f",
         # Only answers with Han letters get as far as comparing grams with the source.
         rf"CASE WHEN _n_han >= 5 THEN {_han('_s')} END AS _hs",
         rf"CASE WHEN _n_han >= 5 THEN {_han('_a')} END AS _ha",
@@ -130,7 +134,7 @@ def votes(df: DataFrame, key: list[str], source: str, answer: str) -> DataFrame:
         "v_self": f"_maybe_refusal AND regexp_like(_l, {_q('^.{0,25}(?:' + SELF + ')')})",
         "v_no_numbers": "_maybe_refusal AND _len > 9 AND regexp_like(_s, '[0-9]') AND NOT regexp_like(regexp_replace(_a, '[(（][^)）]*[)）]', ''), '[0-9]')",
         "v_unlike_source": f"_maybe_refusal AND _solid > 9 AND _solid < 160 AND {task} AND regexp_like(_f, {_q('(?:' + UNABLE + ')')})",
-        "v_same": "_len > 4 AND _n_marks < 0.3 * _blanks AND regexp_replace(_a, '[\\\\p{Z}\\\\p{C}\\\\s]+', '') = regexp_replace(_s, '[\\\\p{Z}\\\\p{C}\\\\s]+', '')",
+        "v_same": "_len > 4 AND _odd AND regexp_replace(_a, '[\\\\p{Z}\\\\p{C}\\\\s]+', '') = regexp_replace(_s, '[\\\\p{Z}\\\\p{C}\\\\s]+', '')",
         "v_source_grams": "_grams >= 0.6",
         "v_source_part": "length(_hs) >= 4 AND instr(_ha, substring(_hs, 1, 8)) > 0",
         "v_han": "_n_han >= 5 AND _n_han >= 0.3 * _letters",
