@@ -95,6 +95,7 @@ def _kendall(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 def correlations(df: DataFrame, keys: list[str], x: str, y: str, kendall: bool = True) -> DataFrame:
     """(keys..., n, pearson, spearman[, kendall]) of x and y per group."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    pairs = pairs.persist()  # read by the plain sums, both rankings and the contingency table
     plain = pairs.groupBy(*keys).agg(F.count("*").alias("n"), pearson("_x", "_y").alias("pearson"))
     ranked = average_ranks(average_ranks(pairs, keys, "_x", "_rx"), keys, "_y", "_ry")
     out = plain.join(ranked.groupBy(*keys).agg(pearson("_rx", "_ry").alias("spearman")), keys)
