@@ -127,3 +127,45 @@ def one_sided_p(r: float, n: int) -> float:
 
     tail = front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
     return tail / 2 if t > 0 else 1 - tail / 2
+
+
+def kendall_p(x: list[float], y: list[float]) -> float:
+    """P(Kendall's tau of unrelated pairs is at least that of x and y): exact without ties, else by the normal limit."""
+    import math
+    from collections import Counter
+
+    n = len(x)
+    sign = lambda d: (d > 0) - (d < 0)
+    s = sum(sign(x[i] - x[j]) * sign(y[i] - y[j]) for i in range(n) for j in range(i))
+    tx, ty = Counter(x).values(), Counter(y).values()
+    if n < 2 or len(tx) < 2 or len(ty) < 2:
+        return float("nan")
+    if len(tx) == len(ty) == n:
+        ways = [1]  # orders of k values by their number of concordant pairs
+        for k in range(2, n + 1):
+            ways = [sum(ways[max(0, c - k + 1) : c + 1]) for c in range(len(ways) + k - 1)]
+        return sum(ways[(s + n * (n - 1) // 2) // 2 :]) / math.factorial(n)
+    m = n * (n - 1)
+    term = lambda f: [sum(f(t) for t in g) for g in (tx, ty)]
+    (x1, y1), (x0, y0), (xt, yt) = term(lambda t: t * (t - 1) * (2 * t + 5)), term(lambda t: t * (t - 1) * (t - 2)), term(lambda t: t * (t - 1) / 2)
+    var = (m * (2 * n + 5) - x1 - y1) / 18 + 2 * xt * yt / m + (x0 * y0 / (9 * m * (n - 2)) if n > 2 else 0)
+    return math.erfc(s / math.sqrt(2 * var)) / 2
+
+
+def small_correlation(kind: str, x: list[float], y: list[float]) -> tuple[float, float]:
+    """(coefficient, one-sided p) of a few pairs, such as one for each metric; NaN as in ``correlations``."""
+    import numpy as np
+
+    nan = float("nan")
+    if len(x) < 2 or len(set(x)) < 2 or len(set(y)) < 2:
+        return nan, nan
+    a, b = np.array(x, float), np.array(y, float)
+    if kind == "kendall":
+        signs = lambda v: np.sign(v[:, None] - v[None, :])
+        sa, sb = signs(a), signs(b)
+        return float((sa * sb).sum() / np.sqrt((sa**2).sum() * (sb**2).sum())), kendall_p(x, y)
+    if kind == "spearman":
+        ranks = lambda v: (v[:, None] > v[None, :]).sum(1) + ((v[:, None] == v[None, :]).sum(1) + 1) / 2
+        a, b = ranks(a), ranks(b)
+    r = float(np.corrcoef(a, b)[0, 1])
+    return r, one_sided_p(r, len(x))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmeta.functions import metrics as X
 from lexmeta.functions import text as T
-from lexmeta.functions.correlation import correlations, one_sided_p
+from lexmeta.functions.correlation import small_correlation
 from lexmeta.operators import selection as S
 from lexmeta.plans import metric_sql as Q
 from lexmeta.plans import metrics as P
@@ -71,24 +71,30 @@ def c19_grid_by_family(spark, d):
 
 @R.add()
 def d8_meta_with_p(spark, d):
-    """Meta-correlation with the sign on the synthetic side, metrics that are NaN on either side left out, and one-sided
-    p-values by Student's t (sixteen metrics at most)."""
+    """Meta-correlation with the sign on the synthetic side: all three coefficients with their one-sided p-values, over
+    all computed metrics; those that are NaN on either side are left out per coefficient."""
     from lexmeta.plans.metrics import _hum, _syn
 
-    h, s = _hum(spark, d, "metric"), _syn(spark, d)
-    both = h.select("metric", F.col("spearman").alias("hs")).join(s.select("metric", F.col("spearman").alias("ss")), "metric").where("NOT isnan(hs) AND NOT isnan(ss)").withColumn("one", F.lit(1))
-    c = correlations(both, ["one"], "hs", "ss", kendall=False)
-    p = F.udf(lambda r, n: None if r is None else one_sided_p(r, n), "double")  # one row
-    status = F.when(F.col("n") < 2, "partial").otherwise("ready")
-    return c.select(F.col("n").alias("common_metrics"), F.round("spearman", 6).alias("meta_spearman"), F.round(p("spearman", "n"), 6).alias("p_value"), status.alias("status"))
+    h, s = _hum(spark, d, "metric", metrics=X.KEYS), _syn(spark, d, X.KEYS)
+    kinds = ("pearson", "spearman", "kendall")
+    both = h.select("metric", *[F.round(c, 9).alias(f"h_{c}") for c in kinds]).join(s.select("metric", *[F.round(c, 9).alias(f"s_{c}") for c in kinds]), "metric")
+    finite = [F.collect_list(F.when(~F.isnan(f"h_{c}") & ~F.isnan(f"s_{c}"), F.struct(F.col(f"h_{c}").alias("x"), F.col(f"s_{c}").alias("y")))).alias(c) for c in kinds]
+    row = both.agg(F.count("*").alias("n"), *finite)  # one row; a pair for each metric
+    for c in kinds:
+        tested = F.udf(lambda pairs, c=c: small_correlation(c, [p.x for p in pairs], [p.y for p in pairs]), "r DOUBLE, p DOUBLE")
+        row = row.withColumn(f"t_{c}", tested(c))
+    status = F.when(F.least(*[F.size(c) for c in kinds]) < 2, "partial").otherwise("ready")
+    shown = [F.round(f"t_{c}.{v}", 6).alias(f"meta_{c}" + ("_pvalue" if v == "p" else "")) for c in kinds for v in "rp"]
+    return row.select(F.col("n").alias("common_metrics"), *shown, status.alias("status"))
 
 
+@P.over_all
 @R.add(f"""WITH {P._SYN_SQL}, {Q.correlations('s_in', ['metric'], 'score', 'quality', 's_')} SELECT metric, RANK() OVER (ORDER BY ROUND(spearman, 6) DESC) AS place FROM s_corr""")
-def f4_rank_metrics(spark, d):
+def f4_rank_metrics(spark, d, metrics=P.KEYS):
     """Metrics by how well they follow damage (one row a metric)."""
     from lexmeta.plans.metrics import _syn
 
-    c = _syn(spark, d).select("metric", F.round("spearman", 6).alias("s"))
+    c = _syn(spark, d, metrics).select("metric", F.round("spearman", 6).alias("s"))
     return c.select("metric", F.rank().over(Window.orderBy(F.desc("s"))).alias("place"))
 
 

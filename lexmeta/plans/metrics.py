@@ -14,11 +14,22 @@ from lexmeta.sources.tables import table
 
 R = Registry()
 queries, ORACLES = R.queries, R.oracles
-KEYS = Q.SQL_KEYS
+KEYS = Q.SQL_KEYS  # what SQL can express; the queries named _all go over X.KEYS, all that is computed
 _HUMAN = "SELECT row_id, reference_vi, prediction_vi FROM benchmark_row"
 _MADE = "SELECT damage_id, reference_vi, prediction_vi FROM damage_row WHERE coalesce(status, 'ok') = 'ok' AND trim(coalesce(prediction_vi, '')) <> '' AND damage_level IS NOT NULL"
 
 
+def over_all(query):
+    """Registers ``query`` once more under its name with _all: over every computed metric, also those without SQL."""
+
+    def whole(spark, d):
+        return query(spark, d, metrics=X.KEYS)
+
+    whole.__name__, whole.__doc__ = f"{query.__name__}_all", f"{query.__doc__.rstrip('.')}. Over all computed metrics."
+    R.add()(whole)
+    return query
+
+
 def _human(spark, d, *keep: str, keys=KEYS) -> DataFrame:
     return X.add_metrics(table(spark, d, "benchmark_row", "row_id", "reference_vi", "prediction_vi", *keep), keys=keys)
 
@@ -49,10 +60,11 @@ _metric_query("h3_rouge_l", ("rouge_l",), "ROUGE-L (checked against a table-fill
 _metric_query("h4_meteor", tuple(k for k in X.KEYS if k.startswith("meteor")), "METEOR, exact stage (checked on fixtures).")
 
 
+@over_all
 @R.add(f"WITH {Q.scores(_MADE, 'damage_id')}, {Q.long('', 'damage_id')} SELECT metric, COUNT(*) AS n, ROUND(AVG(score), 6) AS mean, ROUND(MIN(score), 6) AS lo, ROUND(MAX(score), 6) AS hi FROM long GROUP BY metric")
-def h9_score_grid(spark, d):
+def h9_score_grid(spark, d, metrics=KEYS):
     """The grid of rows by metrics in long form, summed up per metric (d34: the range that rewards are scaled by)."""
-    s = X.long_scores(_made(spark, d), ["damage_id"], KEYS).withColumn("score", F.round("score", 9))
+    s = X.long_scores(_made(spark, d, keys=metrics), ["damage_id"], metrics).withColumn("score", F.round("score", 9))
     return s.groupBy("metric").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.min("score"), 6).alias("lo"), F.round(F.max("score"), 6).alias("hi"))
 
 
@@ -71,14 +83,14 @@ def _corr_select(frm: str, keys: str) -> str:
     return f"SELECT {keys}, n, ROUND(pearson, 5) AS pearson, ROUND(spearman, 5) AS spearman, ROUND(kendall, 5) AS kendall FROM {frm}"
 
 
-def _hum(spark, d, *keys: str) -> DataFrame:
-    rows = _human(spark, d, "human_score", "quality_flags", *[k for k in keys if k != "metric"]).where("size(quality_flags) = 0 AND human_score BETWEEN 0 AND 100")
-    s = X.long_scores(rows, ["row_id", "human_score", *[k for k in keys if k != "metric"]], KEYS).withColumn("score", F.round("score", 9))
+def _hum(spark, d, *keys: str, metrics=KEYS) -> DataFrame:
+    rows = _human(spark, d, "human_score", "quality_flags", *[k for k in keys if k != "metric"], keys=metrics).where("size(quality_flags) = 0 AND human_score BETWEEN 0 AND 100")
+    s = X.long_scores(rows, ["row_id", "human_score", *[k for k in keys if k != "metric"]], metrics).withColumn("score", F.round("score", 9))
     return correlations(s, list(keys), "score", "human_score")
 
 
-def _syn(spark, d) -> DataFrame:
-    s = X.long_scores(_made(spark, d), ["damage_id", "damage_level"], KEYS).withColumn("score", F.round("score", 9))
+def _syn(spark, d, metrics=KEYS) -> DataFrame:
+    s = X.long_scores(_made(spark, d, keys=metrics), ["damage_id", "damage_level"], metrics).withColumn("score", F.round("score", 9))
     return correlations(s.withColumn("quality", -F.col("damage_level")), ["metric"], "score", "quality")
 
 
@@ -88,88 +100,96 @@ _SYN_SQL = f"""{Q.scores(_MADE, 'damage_id', 's_')}, {Q.long('s_', 'damage_id')}
 s_in AS (SELECT l.metric, l.score, -d.damage_level AS quality FROM s_long l JOIN damage_row d USING (damage_id))"""
 
 
+@over_all
 @R.add(f"WITH {_HUM_SQL}, {Q.correlations('h_in', ['metric'], 'score', 'human_score', 'h_')} {_corr_select('h_corr', 'metric')}")
-def d5_r_hum(spark, d):
+def d5_r_hum(spark, d, metrics=KEYS):
     """How each metric goes with the human scores of clean rows."""
-    return _rounded5(_hum(spark, d, "metric"), "metric")
+    return _rounded5(_hum(spark, d, "metric", metrics=metrics), "metric")
 
 
 def _rounded5(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, "n", *[F.round(c, 5).alias(c) for c in ("pearson", "spearman", "kendall")])
 
 
+@over_all
 @R.add(f"WITH {_SYN_SQL}, {Q.correlations('s_in', ['metric'], 'score', 'quality', 's_')} {_corr_select('s_corr', 'metric')}")
-def d6_r_syn(spark, d):
+def d6_r_syn(spark, d, metrics=KEYS):
     """How each metric goes with the negated damage level of usable rows."""
-    return _rounded5(_syn(spark, d), "metric")
+    return _rounded5(_syn(spark, d, metrics), "metric")
 
 
+@over_all
 @R.add(f"""WITH {_HUM_SQL}, {Q.correlations('h_in', ['metric'], 'score', 'human_score', 'h_')}, {_SYN_SQL}, {Q.correlations('s_in', ['metric'], 'score', 'quality', 's_')},
 both_ AS (SELECT h.metric, h.pearson AS hp, h.spearman AS hs, h.kendall AS hk, s.pearson AS sp, s.spearman AS ss, s.kendall AS sk FROM h_corr h JOIN s_corr s USING (metric)),
 {Q.correlations('both_', [], 'ROUND(hp, 9)', 'ROUND(sp, 9)', 'p_')}, {Q.correlations('both_', [], 'ROUND(hs, 9)', 'ROUND(ss, 9)', 'r_')}, {Q.correlations('both_', [], 'ROUND(hk, 9)', 'ROUND(sk, 9)', 'k_')}
 SELECT p_corr.n AS common_metrics, ROUND(p_corr.pearson, 4) AS meta_pearson, ROUND(r_corr.spearman, 4) AS meta_spearman, ROUND(k_corr.kendall, 4) AS meta_kendall FROM p_corr, r_corr, k_corr""")
-def d7_meta_correlation(spark, d):
+def d7_meta_correlation(spark, d, metrics=KEYS):
     """Correlation of the human and the synthetic ranking of metrics: Pearson of Pearsons, Spearman of Spearmans, Kendall of Kendalls."""
-    h, s = _hum(spark, d, "metric"), _syn(spark, d)
+    h, s = _hum(spark, d, "metric", metrics=metrics), _syn(spark, d, metrics)
     both = h.select("metric", *[F.round(c, 9).alias(f"h_{c}") for c in ("pearson", "spearman", "kendall")]).join(s.select("metric", *[F.round(c, 9).alias(f"s_{c}") for c in ("pearson", "spearman", "kendall")]), "metric")
     finite = both.where(" AND ".join(f"NOT isnan({c})" for c in both.columns[1:])).withColumn("one", F.lit(1)).persist()
     parts = [correlations(finite, ["one"], f"h_{c}", f"s_{c}").select("one", "n", F.round(c, 4).alias(f"meta_{c}")) for c in ("pearson", "spearman", "kendall")]
     return parts[0].join(parts[1].drop("n"), "one").join(parts[2].drop("n"), "one").select(F.col("n").alias("common_metrics"), "meta_pearson", "meta_spearman", "meta_kendall")
 
 
-def _family_pairs():
-    fams = {f: [k for k in KEYS if k.startswith(f + "_")] for f in ("bleu", "chrf", "rouge")}
+def _family_pairs(metrics=KEYS):
+    fams = {f: [k for k in metrics if k.startswith(f + "_")] for f in ("bleu", "chrf", "rouge", "meteor")}
     return [(f, a, b) for f, ks in fams.items() for a in ks for b in ks if a != b]
 
 
+@over_all
 @R.add(f"""WITH {Q.scores(_HUMAN, 'row_id')}, w AS (SELECT {", ".join(f"ROUND({k}, 9) AS {k}" for k in KEYS)} FROM wide),
 p AS ({" UNION ALL ".join(f"SELECT '{f}' AS family, '{a}***{b}' AS pair, {Q.pearson(a, b)} AS pearson FROM w" for f, a, b in _family_pairs())})
 SELECT family, pair, ROUND(pearson, 4) AS pearson FROM p UNION ALL SELECT family, 'mean', ROUND(AVG(pearson), 4) FROM p GROUP BY family""")
-def d10_metric_pairs(spark, d):
+def d10_metric_pairs(spark, d, metrics=KEYS):
     """Correlation of metrics of a family, each ordered pair, and the family's mean, from one pass over the wide scores."""
-    w = _human(spark, d).select(*[F.round(k, 9).alias(k) for k in KEYS])
-    one = w.agg(*[pearson(a, b).alias(f"{f}|{a}***{b}") for f, a, b in _family_pairs()])
+    w = _human(spark, d, keys=metrics).select(*[F.round(k, 9).alias(k) for k in metrics])
+    one = w.agg(*[pearson(a, b).alias(f"{f}|{a}***{b}") for f, a, b in _family_pairs(metrics)])
     p = one.unpivot([], one.columns, "name", "pearson").select(F.split_part("name", F.lit("|"), F.lit(1)).alias("family"), F.split_part("name", F.lit("|"), F.lit(2)).alias("pair"), "pearson")
     out = p.unionByName(p.groupBy("family").agg(F.lit("mean").alias("pair"), F.avg("pearson").alias("pearson")))
     return out.select("family", "pair", F.round("pearson", 4).alias("pearson"))
 
 
+@over_all
 @R.add(f"""WITH {Q.scores(_HUMAN, 'row_id')}, w AS (SELECT {", ".join(f"ROUND({k}, 9) AS {k}" for k in KEYS)} FROM wide),
 p AS ({" UNION ALL ".join(f"SELECT '{f}' AS family, '{a}' AS m1, '{b}' AS m2, ROUND({Q.pearson(a, b)}, 9) AS r FROM w" for f, a, b in _family_pairs())})
 SELECT metric, COUNT(*) AS pairs, COUNT(*) FILTER (r >= 0.98) AS redundant, ROUND(AVG(r), 5) AS mean FROM (SELECT m1 AS metric, r FROM p UNION ALL SELECT m2, r FROM p) GROUP BY metric""")
-def d24_redundancy(spark, d):
+def d24_redundancy(spark, d, metrics=KEYS):
     """How many of a metric's pairs go together at 0.98 or more; every ordered pair counts for both sides."""
-    w = _human(spark, d).select(*[F.round(k, 9).alias(k) for k in KEYS])
-    one = w.agg(*[F.round(pearson(a, b), 9).alias(f"{a}|{b}") for _, a, b in _family_pairs()])
+    w = _human(spark, d, keys=metrics).select(*[F.round(k, 9).alias(k) for k in metrics])
+    one = w.agg(*[F.round(pearson(a, b), 9).alias(f"{a}|{b}") for _, a, b in _family_pairs(metrics)])
     p = one.unpivot([], one.columns, "name", "r")
     sides = p.select(F.explode(F.split("name", r"\|")).alias("metric"), "r")
     return sides.groupBy("metric").agg(F.count("*").alias("pairs"), F.count_if(F.col("r") >= 0.98).alias("redundant"), F.round(F.avg("r"), 5).alias("mean"))
 
 
+@over_all
 @R.add(f"""WITH {_HUM_SQL}, c AS (SELECT metric, channel, COUNT(*) AS len, {Q.pearson("score", "human_score")} AS r FROM h_in GROUP BY metric, channel)
 SELECT metric, ROUND(AVG(r) FILTER (NOT isnan(r)), 5) AS mean, ROUND(SUM(CASE WHEN isnan(r) THEN 0 ELSE r * len END) / SUM(len), 5) AS weighted FROM c GROUP BY metric""")
-def d11_mean_of_datasets(spark, d):
+def d11_mean_of_datasets(spark, d, metrics=KEYS):
     """Mean correlation over channels as datasets: NaN ones skipped; the weighted mean divides by all rows, also theirs."""
-    rows = _human(spark, d, "human_score", "quality_flags", "channel").where("size(quality_flags) = 0 AND human_score BETWEEN 0 AND 100")
-    s = X.long_scores(rows, ["row_id", "human_score", "channel"], KEYS).withColumn("score", F.round("score", 9))
+    rows = _human(spark, d, "human_score", "quality_flags", "channel", keys=metrics).where("size(quality_flags) = 0 AND human_score BETWEEN 0 AND 100")
+    s = X.long_scores(rows, ["row_id", "human_score", "channel"], metrics).withColumn("score", F.round("score", 9))
     c = s.groupBy("metric", "channel").agg(F.count("*").alias("len"), pearson("score", "human_score").alias("r"))
     r = F.nullif(F.col("r"), F.lit(float("nan")))
     return c.groupBy("metric").agg(F.round(F.avg(r), 5).alias("mean"), F.round(F.sum(F.coalesce(r * F.col("len"), F.lit(0.0))) / F.sum("len"), 5).alias("weighted"))
 
 
+@over_all
 @R.add(f"""WITH {_SYN_SQL} SELECT metric, {", ".join(f"ROUND(AVG(score) FILTER (quality = -{k}), 6) AS l{k}" for k in range(6))} FROM s_in GROUP BY metric""")
-def d12_level_means(spark, d):
+def d12_level_means(spark, d, metrics=KEYS):
     """Mean score per metric and damage level, levels as columns."""
-    s = X.long_scores(_made(spark, d), ["damage_id", "damage_level"], KEYS).withColumn("score", F.round("score", 9))
+    s = X.long_scores(_made(spark, d, keys=metrics), ["damage_id", "damage_level"], metrics).withColumn("score", F.round("score", 9))
     p = s.groupBy("metric").pivot("damage_level", list(range(6))).agg(F.round(F.avg("score"), 6))
     return p.select("metric", *[F.col(str(k)).alias(f"l{k}") for k in range(6)])
 
 
+@over_all
 @R.add(f"""WITH {_SYN_SQL}, m AS (SELECT metric, quality, ROUND(AVG(score), 9) AS v FROM s_in GROUP BY ALL), s AS (SELECT metric, -quality AS l, v, LAG(v) OVER (PARTITION BY metric ORDER BY -quality) AS before FROM m)
 SELECT metric, COUNT(*) FILTER (v > before) AS increase_steps, ROUND(MAX(v) FILTER (l = 0) - MAX(v) FILTER (l = 5), 6) AS drop_0_to_5 FROM s GROUP BY metric""")
-def f6_level_diagnostics(spark, d):
+def f6_level_diagnostics(spark, d, metrics=KEYS):
     """Steps at which the mean score rises with damage, and the fall from level 0 to 5 (six rows a metric)."""
-    s = X.long_scores(_made(spark, d), ["damage_id", "damage_level"], KEYS).withColumn("score", F.round("score", 9))
+    s = X.long_scores(_made(spark, d, keys=metrics), ["damage_id", "damage_level"], metrics).withColumn("score", F.round("score", 9))
     m = s.groupBy("metric", "damage_level").agg(F.round(F.avg("score"), 9).alias("v"))
     b = m.withColumn("before", F.lag("v").over(Window.partitionBy("metric").orderBy("damage_level")))
     at = lambda k: F.max(F.when(F.col("damage_level") == k, F.col("v")))

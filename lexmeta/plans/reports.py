@@ -253,7 +253,7 @@ def g28_number_format(spark, d):
 
 def _light(spark, d):
     rows = table(spark, d, "benchmark_row", "row_id", "reference_vi", "prediction_vi", "human_score", "quality_flags", "channel").where("size(quality_flags) = 0 AND human_score BETWEEN 0 AND 100")
-    return X.add_metrics(rows, keys=Q.SQL_KEYS)
+    return X.add_metrics(rows)
 
 
 @R.add()
@@ -261,21 +261,21 @@ def i1_ridge(spark, d):
     """Ridge of the human score on the metric grid: in-fold free predictions and how they go with the scores."""
     from lexmeta.functions.correlation import pearson
 
-    _, _, oof = models.ridge_cv(_light(spark, d), "row_id", list(Q.SQL_KEYS), "human_score")
+    _, _, oof = models.ridge_cv(_light(spark, d), "row_id", list(X.KEYS), "human_score")
     return oof.agg(F.count("*").alias("n"), F.round(pearson("out_of_fold", "human_score"), 4).alias("pearson"), F.round(F.avg(F.abs(F.col("out_of_fold") - F.col("human_score"))), 4).alias("mae"))
 
 
 @R.add()
 def i2_model_bank(spark, d):
     """One ridge model per channel, mean score of each."""
-    scored = models.model_bank(_light(spark, d), "channel", list(Q.SQL_KEYS), "human_score")
+    scored = models.model_bank(_light(spark, d), "channel", list(X.KEYS), "human_score")
     return scored.groupBy("channel").agg(F.count("*").alias("n"), F.round(F.avg("bank_score"), 4).alias("mean_predicted"), F.round(F.avg("human_score"), 4).alias("mean_human"))
 
 
 @R.add()
 def i3_first_component(spark, d):
     """Range of the first principal component of the metric grid, per channel (d37: its sign goes with the mean metric)."""
-    keys = list(Q.SQL_KEYS)
+    keys = list(X.KEYS)
     rows = _light(spark, d)
     mean, sd, v = models.first_component(rows, keys)
     pc = sum(((F.col(k) - float(m)) / float(s) * float(w) for k, m, s, w in zip(keys, mean, sd, v)), F.lit(0.0))
