@@ -1,15 +1,19 @@
 """Text functions: Unicode-aware normalisation, tone and mark stripping, tokens, fingerprints.
 
-All are column expressions that stay in the JVM. They read composed (NFC) text; decomposed marks are handled where the
-docstring says so. Null gives null.
+Most are column expressions that stay in the JVM. They read composed (NFC) text; decomposed marks are handled where the
+docstring says so. Null gives null. What needs the Unicode tables whole runs in Arrow batches (``add_mapped``).
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TONES = "̣̀́̃̉"
 
@@ -55,3 +59,26 @@ def words(text: str | Column) -> Column:
 def finite_or_null(value: str | Column) -> Column:
     v = F.col(value) if isinstance(value, str) else value
     return F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).otherwise(v)
+
+
+def normal(text: str) -> str:
+    """NFC, runs of white space as one blank, none at the ends."""
+    return re.sub(r"\s+", " ", unicodedata.normalize("NFC", text)).strip()
+
+
+def plain(text: str) -> str:
+    """Without any combining mark, of any script; composed or not."""
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)))
+
+
+def add_mapped(df: DataFrame, value: str, out: str, f: Callable[[str], str]) -> DataFrame:
+    """``df`` with ``f`` of the texts (or of each text of the arrays) of ``value`` as ``out``."""
+    schema = T.StructType([*df.schema.fields, T.StructField(out, df.schema[value].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(value)
+            made = [None if v is None else [f(x) for x in v] if isinstance(v, list) else f(v) for v in column.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, column.type)], [*batch.schema.names, out])
+
+    return df.mapInArrow(run, schema)

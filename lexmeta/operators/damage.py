@@ -16,7 +16,7 @@ from lexmeta.functions.text import strip_marks
 DROPS = {3: 0.15, 4: 0.30, 5: 0.50}
 
 
-def _words(text: Column) -> Column:
+def words(text: Column) -> Column:
     clean = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
 
@@ -32,13 +32,14 @@ def drop_words(words: Column, key: Column, level: int, fraction: float) -> Colum
     return F.when(n < 3, words).otherwise(F.transform(chosen, lambda i: F.get(words, i)))
 
 
-def damaged(df: DataFrame, key: str, text: str, level: str = "damage_level", out: str = "damaged_vi") -> DataFrame:
-    """``df``, which has a level per row, with the damaged text."""
+def damaged(df: DataFrame, key: str, text: str, level: str = "damage_level", out: str = "damaged_vi", plain_words: str | None = None) -> DataFrame:
+    """``df``, which has a level per row, with the damaged text. ``plain_words`` names a column with the words without
+    marks; without it they are made for Latin letters."""
 
     def made(w: Column) -> Column:
-        plain = F.transform(w, lambda x: strip_marks(x))
+        plain = F.col(plain_words) if plain_words else F.transform(w, lambda x: strip_marks(x))
         first = F.array_position(F.zip_with(w, plain, lambda a, b: a != b), True).cast("int")
-        one = F.transform(w, lambda x, i: F.when(i == first - 1, strip_marks(x)).otherwise(x))
+        one = F.transform(w, lambda x, i: F.when(i == first - 1, F.get(plain, i) if plain_words else strip_marks(x)).otherwise(x))
         middle = F.floor(F.size(w) / 2).cast("int")
         two = F.when(F.size(w) > 4, F.filter(plain, lambda x, i: i != middle)).otherwise(plain)
         kept = {n: drop_words(w, F.col(key), n, f) for n, f in DROPS.items()}
@@ -50,4 +51,4 @@ def damaged(df: DataFrame, key: str, text: str, level: str = "damage_level", out
         )
 
     # The array of one binds the words, so that they are split once and not in every place that uses them.
-    return df.withColumn(out, F.when(F.col(level) == 0, F.col(text)).otherwise(F.transform(F.array(_words(F.col(text))), made)[0]))
+    return df.withColumn(out, F.when(F.col(level) == 0, F.col(text)).otherwise(F.transform(F.array(words(F.col(text))), made)[0]))

@@ -136,6 +136,12 @@ def g1_squeeze(spark, d):
     return table(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL").where(~F.col("text").rlike(r"[\x1c-\x1f\x85]")).select("doc_id", T.squeeze("text").alias("squeezed"))
 
 
+@R.add()
+def g1_squeeze_all(spark, d):
+    """All texts composed (NFC), runs of blanks of any kind as one, none at the ends."""
+    return T.add_mapped(table(spark, d, "documents", "doc_id", "text"), "text", "squeezed", T.normal).select("doc_id", "squeezed")
+
+
 @R.add("SELECT row_id, strip_accents(nfc_normalize(prediction_vi)) AS plain FROM benchmark_row WHERE regexp_full_match(prediction_vi, '[\\x00-\\x7f\\x{c0}-\\x{24f}\\x{1e00}-\\x{1eff}\\x{300}-\\x{36f}“”…]*')")
 def g3_strip_marks(spark, d):
     """Texts without any marks (Latin texts; strip_tone is checked in the tests)."""
@@ -143,6 +149,12 @@ def g3_strip_marks(spark, d):
     return rows.select("row_id", T.strip_marks("prediction_vi").alias("plain"))
 
 
+@R.add()
+def g3_strip_marks_all(spark, d):
+    """All texts, of any script, without any marks."""
+    return T.add_mapped(table(spark, d, "benchmark_row", "row_id", "prediction_vi"), "prediction_vi", "plain", T.plain).select("row_id", "plain")
+
+
 @R.add()
 def g2_strip_tone(spark, d):
     """Texts without tone marks; vowel marks stay."""
@@ -173,6 +185,14 @@ def g7_rule_damage(spark, d):
     return damage.damaged(grid, "row_id", "reference_vi").select("row_id", F.col("damage_level").cast("long").alias("damage_level"), "damaged_vi")
 
 
+@R.add()
+def g7_rule_damage_all(spark, d):
+    """Six damage levels of all references by rule, of any script."""
+    rows = table(spark, d, "benchmark_row", "row_id", "reference_vi").withColumn("words", damage.words(F.col("reference_vi")))
+    grid = matching.damage_grid(T.add_mapped(rows, "words", "plain_words", T.plain))
+    return damage.damaged(grid, "row_id", "reference_vi", plain_words="plain_words").select("row_id", F.col("damage_level").cast("long").alias("damage_level"), "damaged_vi")
+
+
 @R.add()
 def g8_rule_baseline(spark, d):
     """The rule-based branch over the whole benchmark: mean ROUGE-1 of each level."""
