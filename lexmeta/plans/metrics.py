@@ -250,3 +250,46 @@ def d25_prompt_robustness(spark, d):
     """Mean and sample spread of the models' mean scores per prompt (0 for one model)."""
     m = _made(spark, d, "prompt_type", "model_name", keys=("rouge_1",)).groupBy("prompt_type", "model_name").agg(F.avg(F.round("rouge_1", 9)).alias("m"))
     return m.groupBy("prompt_type").agg(F.count("*").alias("n_models"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("m"), F.lit(0.0)), 6).alias("spread"))
+
+
+def _made_long(spark, d, *keep: str) -> DataFrame:
+    rows = _made(spark, d, *keep, keys=X.KEYS)
+    return X.long_scores(rows, list(dict.fromkeys(("damage_id", "damage_level", *keep))), X.KEYS).withColumn("score", F.round("score", 9))
+
+
+def _pairs_all(spark, d) -> DataFrame:
+    return M.self_level_pairs(_made_long(spark, d, "id", "prompt_type"), ["metric", "id", "prompt_type"], "damage_level", "score")
+
+
+def _first(df: DataFrame, k: int, *order) -> DataFrame:
+    """The first k rows of each metric; Spark keeps no more than k a metric in each task before it shuffles."""
+    return df.withColumn("_place", F.row_number().over(Window.partitionBy("metric").orderBy(*order))).where(F.col("_place") <= k).drop("_place")
+
+
+@R.add()
+def d13_failure_rate_all(spark, d):
+    """How often a damaged text scores above its clean one, by each metric."""
+    worse = F.col("score") > F.col("clean_score") + 1e-9
+    return _pairs_all(spark, d).groupBy("metric", "prompt_type").agg(F.count("*").alias("comparisons"), F.count_if(worse).alias("failures"), F.round(F.count_if(worse) / F.count("*"), 6).alias("failure_rate"))
+
+
+@R.add()
+def f2_worst_failures_all(spark, d):
+    """The three damaged texts that gain most over their clean ones, by each metric."""
+    gaps = _pairs_all(spark, d).select("metric", "damage_id", F.round(F.col("score") - F.col("clean_score"), 6).alias("gap"))
+    return _first(gaps, 3, F.desc("gap"), "damage_id")
+
+
+@R.add()
+def f3_worst_groups_all(spark, d):
+    """The groups whose score goes most with damage, by each metric; a constant group counts as worst (1)."""
+    rows = _made_long(spark, d, "id", "prompt_type").select("metric", "id", "prompt_type", "damage_level", "score")
+    c = correlations(rows, ["metric", "id", "prompt_type"], "score", "damage_level", kendall=False).where("n >= 2")
+    return _first(c.select("metric", "id", "prompt_type", "n", F.round(F.nanvl("spearman", F.lit(1.0)), 6).alias("spearman")), 5, F.desc("spearman"), "id", "prompt_type")
+
+
+@R.add()
+def d25_prompt_robustness_all(spark, d):
+    """Mean and sample spread of the models' mean scores per prompt and metric (0 for one model)."""
+    m = _made_long(spark, d, "prompt_type", "model_name").groupBy("metric", "prompt_type", "model_name").agg(F.avg("score").alias("m"))
+    return m.groupBy("metric", "prompt_type").agg(F.count("*").alias("n_models"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("m"), F.lit(0.0)), 6).alias("spread"))

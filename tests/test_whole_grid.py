@@ -85,3 +85,31 @@ def test_kendall_p():
     tied, other = [1.0, 1.0, 2.0, 3.0, 4.0], [1.0, 2.0, 2.0, 3.0, 3.0]
     assert kendall_p(tied, other) < 0.1 and math.isclose(kendall_p(tied, other) + kendall_p(tied, [-v for v in other]), 1)
     assert small_correlation("kendall", x, x) == (1.0, 1 / 120) and math.isnan(small_correlation("pearson", [1.0], [2.0])[0])
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["d13_failure_rate", "f2_worst_failures", "f3_worst_groups", "d25_prompt_robustness"])
+def test_reports_of_each_metric(spark, name):
+    whole = catalog.queries()[name + "_all"](spark, SMALL)
+    rows = whole.collect()
+    assert {r.metric for r in rows} == set(X.KEYS)
+    columns = [c for c in whole.columns if c != "metric"]
+    one = catalog.queries()[name](spark, SMALL).select(*columns).collect()
+    assert sorted(map(tuple, one), key=repr) == sorted((tuple(r[c] for c in columns) for r in rows if r.metric == "rouge_1"), key=repr)
+
+
+@needs_tables
+def test_failures_of_each_metric_by_brute_force(spark):
+    scored = made_scores(spark, "id", "prompt_type")
+    got = {(r.metric, r.prompt_type): (r.comparisons, r.failures) for r in catalog.queries()["d13_failure_rate_all"](spark, SMALL).collect()}
+    want = {}
+    for k in X.KEYS:
+        clean = {}
+        for r, s in scored:
+            if r.damage_level == 0:
+                clean.setdefault((r.id, r.prompt_type), []).append(s[k])
+        for r, s in scored:
+            if r.damage_level > 0 and (c := clean.get((r.id, r.prompt_type))):
+                n, bad = want.get((k, r.prompt_type), (0, 0))
+                want[k, r.prompt_type] = (n + 1, bad + (s[k] > sum(c) / len(c) + 1e-9))
+    assert got == want
