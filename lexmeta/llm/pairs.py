@@ -68,6 +68,10 @@ VOTES = {
 }
 
 
+#: Blanks and marks at both ends; possessive, so that a long run of them inside is read once.
+_ENDS = r"^[\\p{P}\\p{S}\\p{Z}\\p{C}\\s]++|(?<![\\p{P}\\p{S}\\p{Z}\\p{C}\\s])[\\p{P}\\p{S}\\p{Z}\\p{C}\\s]++$"
+
+
 def _han(column: str) -> str:
     return rf"regexp_replace({column}, '[^\\p{{IsHan}}]', '')"
 
@@ -107,11 +111,13 @@ def votes(df: DataFrame, key: list[str], source: str, answer: str) -> DataFrame:
         f"CASE WHEN _odd THEN length(_l) - length(translate(_l, '{MARKED}', '')) END AS _n_marks",
         r"CASE WHEN _odd THEN length(regexp_replace(_a, '[^\\p{IsHan}]+', '')) ELSE 0 END AS _n_han",
         r"_blanks >= 2 AND NOT regexp_like(_a, '[.!?…。！？][^\\p{L}\\p{N}.!?…。！？]*$') AS _open_end",
+        r"_len > 40 AND regexp_like(_a, '^[^\\p{L}\\p{N}]|[^\\p{L}\\p{N}][^\\p{L}\\p{N}]$|  ') AS _padded",
     ).selectExpr(
         "*",
         "_odd AND _n_marks < 0.3 * _blanks AS _maybe_foreign",
-        rf"CASE WHEN _len <= 40 THEN lower(trim(regexp_replace(_a, '^[\\p{{P}}\\p{{S}}\\p{{Z}}\\s]+|[\\p{{P}}\\p{{S}}\\p{{Z}}\\s]+$', ''))) END AS _strip",
-        r"CASE WHEN _len <= 40 OR _maybe_refusal OR _odd THEN length(regexp_replace(_a, '[\\p{Z}\\p{C}\\s]+', '')) ELSE _len END AS _solid",
+        # What is left without blanks and marks at the ends, of any length before; long answers that start and end with a letter or digit skip it.
+        rf"CASE WHEN _len <= 40 OR _padded THEN lower(trim(regexp_replace(_a, '{_ENDS}', ''))) END AS _strip",
+        r"CASE WHEN _len <= 40 OR _padded OR _maybe_refusal OR _odd THEN length(regexp_replace(_a, '[\\p{Z}\\p{C}\\s]+', '')) ELSE _len END AS _solid",
         f"CASE WHEN _maybe_refusal OR _odd THEN {truncation.fold('_l')} END AS _f",
         # Only answers with Han letters get as far as comparing grams with the source.
         rf"CASE WHEN _n_han >= 5 THEN {_han('_s')} END AS _hs",
@@ -126,9 +132,9 @@ def votes(df: DataFrame, key: list[str], source: str, answer: str) -> DataFrame:
     ).selectExpr("*", f"CASE WHEN _maybe_foreign THEN size(filter(_w, w -> w RLIKE {_q(SYLLABLE)})) / greatest(size(_w), 1) END AS _syllables")
     task = f"regexp_like(_f, {_q('(?:' + TASK + ')')})"
     yes = {
-        "v_nothing": r"_a IS NULL OR _len <= 40 AND NOT regexp_like(_a, '[\\p{L}\\p{N}]')",
+        "v_nothing": r"_a IS NULL OR NOT regexp_like(_a, '[\\p{L}\\p{N}]')",
         "v_stand_in": stand_in,
-        "v_tiny": "_a IS NULL OR _len <= 40 AND _solid <= 9",
+        "v_tiny": "_a IS NULL OR _solid <= 9 OR length(_strip) <= 9 AND _len > 40",
         "v_unable": f"_maybe_refusal AND regexp_like(_f, {_q('(?:' + UNABLE + ')[^.!?。！？]{0,60}(?:' + TASK + ')')})",
         "v_apology": f"_maybe_refusal AND (regexp_like(_f, {_q('^[^.!?。！？]{0,12}(?:' + APOLOGY + ')')}) OR regexp_like(_f, 'as an ai|mo hinh ngon ngu|language model|作为.{{0,6}}模型'))",
         "v_self": f"_maybe_refusal AND regexp_like(_l, {_q('^.{0,25}(?:' + SELF + ')')})",
