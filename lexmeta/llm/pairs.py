@@ -11,6 +11,8 @@ mark alone, missing Vietnamese marks and wrong translations are no defects. All
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +61,34 @@ REFUSAL_PARTS = (
     "|not have|n't have|as an ai|mô hình ngôn ngữ|mo hinh ngon ngu|language model|xin lỗi|xin loi|rất tiếc|rat tiec|sorry|apolog|unfortunately|regret|无法|不能|不便|不可以|不允许|没法|没有办法|不予|拒绝|抱歉|对不起|遗憾|不好意思|原谅|模型"
 )
 
+_FOLD = str.maketrans(truncation.FROM, truncation.TO)
+
+
+def _heads(pattern: str) -> list[str]:
+    """Literal parts of which every match of ``pattern`` (an alternation, groups one deep) has one."""
+    out = []
+    for a in re.findall(r"(?:\([^)]*\)|[^|(])+", pattern):
+        group = re.search(r"\(\?:([^)]*)\)", a)
+        if not group:
+            out.append(a)
+        elif a[: group.start()]:
+            out += [a[: group.start()] + w for w in group[1].split("|")]
+        else:
+            out.append(a[group.end() :])
+    return out
+
+
+def _widest(parts: list[str]) -> list[str]:
+    """Without marks, and without those that have another one inside."""
+    plain = list(dict.fromkeys(p.translate(_FOLD) for p in parts))
+    return [p for p in plain if not any(q != p and q in p for q in plain)]
+
+
+#: Looked for in texts without marks: built from the patterns, so that none of them asks for what the gate doesn't let by.
+REFUSAL_GATE = "|".join(_widest([*REFUSAL_PARTS.split("|"), *_heads(APOLOGY), *_heads(UNABLE), "as an ai", "mo hinh ngon ngu", "language model", "模型"]))
+#: Letters of other scripts than Latin, by blocks (some marks of these blocks are in it as well).
+OTHER_SCRIPT = r"[\\u0370-\\u1DFF\\u1F00-\\u1FFF\\u2C00-\\u2FFF\\u3005\\u3007\\u3021-\\uD7FF\\uF900-\\uFEFE\\uFF66-\\uFFDC\\x{10000}-\\x{1EFFF}\\x{20000}-\\x{3FFFF}]"
+
 VOTES = {
     "empty": ["v_nothing", "v_stand_in", "v_tiny"],
     "refusal": ["v_unable", "v_apology", "v_self", "v_no_numbers", "v_unlike_source"],
@@ -100,18 +130,18 @@ def votes(df: DataFrame, key: list[str], source: str, answer: str) -> DataFrame:
         "*",
         "length(_a) AS _len",
         "octet_length(_a) AS _bytes",
-        f"{_any_part('_l', REFUSAL_PARTS)} AS _maybe_refusal",
+        f"transform(array(translate(_l, '{truncation.FROM}', '{truncation.TO}')), x -> {_any_part('x', REFUSAL_GATE)})[0] AS _maybe_refusal",
         "length(_a) - length(replace(_a, ' ', '')) + 1 AS _blanks",
     ).selectExpr(
         "*",
-        # Few marks, or many bytes between blanks: else the text is Vietnamese, and has no run of Han letters.
-        "_bytes - _len < 0.6 * _blanks OR _bytes > 9 * _blanks AS _odd",
+        # Few marks, many bytes between blanks or a letter of another script: else the text is Vietnamese.
+        f"_bytes - _len < 0.6 * _blanks OR _bytes > 9 * _blanks OR regexp_like(_a, '{OTHER_SCRIPT}') AS _odd",
     ).selectExpr(
         "*",
         f"CASE WHEN _odd THEN length(_l) - length(translate(_l, '{MARKED}', '')) END AS _n_marks",
         r"CASE WHEN _odd THEN length(regexp_replace(_a, '[^\\p{IsHan}]+', '')) ELSE 0 END AS _n_han",
         r"_blanks >= 2 AND NOT regexp_like(_a, '[.!?…。！？][^\\p{L}\\p{N}.!?…。！？]*$') AS _open_end",
-        r"_len > 40 AND regexp_like(_a, '^[^\\p{L}\\p{N}]|[^\\p{L}\\p{N}][^\\p{L}\\p{N}]$|  ') AS _padded",
+        r"_len > 40 AND regexp_like(_a, '^[^\\p{L}\\p{N}]|[^\\p{L}\\p{N}][^\\p{L}\\p{N}]$|[\\p{Z}\\p{C}\\s]{2}') AS _padded",
     ).selectExpr(
         "*",
         "_odd AND _n_marks < 0.3 * _blanks AS _maybe_foreign",
@@ -136,7 +166,7 @@ def votes(df: DataFrame, key: list[str], source: str, answer: str) -> DataFrame:
         "v_stand_in": stand_in,
         "v_tiny": "_a IS NULL OR _solid <= 9 OR length(_strip) <= 9 AND _len > 40",
         "v_unable": f"_maybe_refusal AND regexp_like(_f, {_q('(?:' + UNABLE + ')[^.!?。！？]{0,60}(?:' + TASK + ')')})",
-        "v_apology": f"_maybe_refusal AND (regexp_like(_f, {_q('^[^.!?。！？]{0,12}(?:' + APOLOGY + ')')}) OR regexp_like(_f, 'as an ai|mo hinh ngon ngu|language model|作为.{{0,6}}模型'))",
+        "v_apology": f"_maybe_refusal AND (regexp_like(_f, {_q('^[^.!?。！？]{0,12}(?:' + APOLOGY.translate(_FOLD) + ')')}) OR regexp_like(_f, 'as an ai|mo hinh ngon ngu|language model|作为.{{0,6}}模型'))",
         "v_self": f"_maybe_refusal AND regexp_like(_l, {_q('^.{0,25}(?:' + SELF + ')')})",
         "v_no_numbers": "_maybe_refusal AND _len > 9 AND regexp_like(_s, '[0-9]') AND NOT regexp_like(regexp_replace(_a, '[(（][^)）]*[)）]', ''), '[0-9]')",
         "v_unlike_source": f"_maybe_refusal AND _solid > 9 AND _solid < 160 AND {task} AND regexp_like(_f, {_q('(?:' + UNABLE + ')')})",
