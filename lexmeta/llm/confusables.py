@@ -73,7 +73,23 @@ def regular_sql(value: str) -> str:
     return f"nfc_normalize(translate({barred}, {_lit(LATIN[0])}, {_lit(LATIN[1])}))"
 
 
-_PLAIN = r"^[\x00-\x7E\x{C0}-\x{CF}\x{D1}-\x{EF}\x{F1}-\x{17F}\x{1A0}\x{1A1}\x{1AF}\x{1B0}\x{1EA0}-\x{1EF9}\x{2013}-\x{2026}\x{3001}-\x{3011}\x{4E00}-\x{9FFF}，：；？！（）％]*$"
+# Characters of usual texts, less every key of the mapping tables.
+_USUAL = ((0x00, 0x7E), (0xC0, 0xCF), (0xD1, 0xEF), (0xF1, 0x17F), (0x1A0, 0x1A1), (0x1AF, 0x1B0), (0x1EA0, 0x1EF9), (0x2013, 0x2026), (0x3001, 0x3011), (0x4E00, 0x9FFF))
+_MAPPED = set(CYRILLIC[0] + GREEK[0] + ARMENIAN[0] + LATIN[0] + COMPAT[0] + INVISIBLE + SPACES.replace(" ", "") + HYPHENS)
+
+
+def _plain_class() -> str:
+    """Built by rule: the ranges of _USUAL, split at the mapped characters."""
+    out = []
+    for lo, hi in _USUAL:
+        for c in [*(c for c in range(lo, hi + 1) if chr(c) in _MAPPED), hi + 1]:
+            if lo < c:
+                out.append(rf"\x{{{lo:X}}}-\x{{{c - 1:X}}}")
+            lo = c + 1
+    return "^[" + "".join(out) + "，：；？！（）％]*$"
+
+
+_PLAIN = _plain_class()
 
 
 def regularize(df: DataFrame, value: str = "value", out: str = "regular") -> DataFrame:

@@ -1,4 +1,4 @@
-from lexmeta.llm import pairs
+from lexmeta.llm import confusables, pairs
 
 ZH = "红江的工程师们在河边重新种植了50公顷森林，因为居民需求增长很快。"
 
@@ -27,3 +27,10 @@ def test_other_scripts_between_blanks(spark):
     other = ["다리 가새 로개 통되 었다 고도 시가 밝혔 다", "мы на мо ст не шли по ле су", "สะ พา น ให ม่ เป ดแ ล้ว"]
     assert all(r.v_script for r in votes(spark, other))
     assert not votes(spark, ["Các kỹ sư tại Hồng Giang trồng lại 50 héc ta rừng ven sông “Север”, vì nhu cầu của người dân tăng nhanh."])[0].v_script
+
+
+def test_every_look_alike_is_mapped_alone(spark):
+    pairs_ = list(zip(*confusables.LATIN))
+    values = [f"m{a}t" for a, _ in pairs_] + [f"m{a}t\u200b" for a, _ in pairs_]
+    out = confusables.regularize(spark.createDataFrame(list(enumerate(values)), "i INT, value STRING")).orderBy("i").collect()
+    assert [r.regular for r in out] == [f"m{b}t" for _, b in pairs_] * 2
