@@ -27,33 +27,40 @@ def bucket(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(42)).astype(np.int64)
 
 
-def count_pairs(corpus: DataFrame, text: str = "text") -> DataFrame:
-    """(``kind``, ``key``, ``n``): kind 0 counts characters by code point, kind 1 pairs by bucket.
+def count_pairs(corpus: DataFrame, text: str = "text", by_script: bool = False) -> DataFrame:
+    """(``script``, ``kind``, ``key``, ``n``): kind 0 counts characters by code point, kind 1 pairs by bucket.
 
-    Each task adds up its own batches first; the shuffle carries one row per key and batch, not one per pair.
-    Null and empty texts count nothing.
+    Texts with more than three Han letters in ten characters are of script 1, others (with ``by_script`` off: all) of script
+    0. Each task adds up its own batches first; the shuffle carries one row per key and task, not one per pair. Null and
+    empty texts count nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chars: dict[int, int] = {}
-        pairs: dict[int, int] = {}
+        sums: list[dict[int, int]] = [{}, {}, {}, {}]
         for batch in batches:
             column = batch.column(0)
             for lo in range(0, len(column), 2000):
-                joined = "\0".join(t for t in column.slice(lo, 2000).to_pylist() if t)
-                points = code_points(joined)
+                points = code_points("\0".join(t for t in column.slice(lo, 2000).to_pylist() if t))
                 inside = points != 0
-                for into, keys in ((chars, points[inside].astype(np.int64)), (pairs, bucket(points[:-1], points[1:])[inside[:-1] & inside[1:]])):
-                    for k, n in zip(*(x.tolist() for x in np.unique(keys, return_counts=True))):
-                        into[k] = into.get(k, 0) + n
-        for kind, counts in enumerate((chars, pairs)):
+                owner = np.cumsum(~inside)
+                han = np.bincount(owner, weights=(points >= 0x4E00) & (points <= 0x9FFF))
+                script = (han > 0.3 * np.bincount(owner, weights=inside))[owner] if by_script and len(points) else np.zeros(len(points), dtype=bool)
+                pairs = bucket(points[:-1], points[1:])
+                both = inside[:-1] & inside[1:]
+                for s in (0, 1):
+                    mine = script == bool(s)
+                    for into, keys in ((sums[2 * s], points[inside & mine].astype(np.int64)), (sums[2 * s + 1], pairs[both & mine[1:]])):
+                        for k, n in zip(*(x.tolist() for x in np.unique(keys, return_counts=True))):
+                            into[k] = into.get(k, 0) + n
+        for i, counts in enumerate(sums):
             keys, values = list(counts), list(counts.values())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([kind] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(values, pa.int64())], ["kind", "key", "n"]
+                [pa.array([i // 2] * len(keys), pa.int32()), pa.array([i % 2] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(values, pa.int64())],
+                ["script", "kind", "key", "n"],
             )
 
-    partial = corpus.select(text).mapInArrow(run, "kind INT, key BIGINT, n BIGINT")
-    return partial.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    partial = corpus.select(text).mapInArrow(run, "script INT, kind INT, key BIGINT, n BIGINT")
+    return partial.groupBy("script", "kind", "key").agg(F.sum("n").alias("n"))
 
 
 class PairModel:
@@ -69,9 +76,18 @@ class PairModel:
 
     @classmethod
     def fit(cls, corpus: DataFrame, text: str = "text") -> PairModel:
-        rows = count_pairs(corpus, text).toArrow()
-        kind, key, n = (rows.column(c).to_numpy() for c in ("kind", "key", "n"))
-        return cls(*((key[kind == k], n[kind == k]) for k in (0, 1)))
+        return cls._of(count_pairs(corpus, text).toArrow(), 0)
+
+    @classmethod
+    def fit_by_script(cls, corpus: DataFrame, text: str = "text") -> tuple[PairModel, PairModel]:
+        """The models of texts with many Han letters, and of the others, counted in one pass."""
+        rows = count_pairs(corpus, text, by_script=True).toArrow()
+        return cls._of(rows, 1), cls._of(rows, 0)
+
+    @classmethod
+    def _of(cls, rows: pa.Table, wanted: int) -> PairModel:
+        script, kind, key, n = (rows.column(c).to_numpy() for c in ("script", "kind", "key", "n"))
+        return cls(*((key[some], n[some]) for some in ((script == wanted) & (kind == k) for k in (0, 1))))
 
     def state(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
         """What the model is made of again; plain arrays, which executors read without this package."""

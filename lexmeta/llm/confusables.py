@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Letters of other scripts that look like Latin ones, for words that hold Latin letters as well.
 CYRILLIC = ("АВЕЅІЈКМНОРСТУХаеѕіјкорсухһԁԛԝѵӏүгвнтмп", "ABESIJKMHOPCTYXaesijkopcyxhdqwvlyrBHTMn")
@@ -86,20 +88,21 @@ def _plain_class() -> str:
             if lo < c:
                 out.append(rf"\x{{{lo:X}}}-\x{{{c - 1:X}}}")
             lo = c + 1
-    return "^[" + "".join(out) + "，：；？！（）％]*$"
+    return "^[" + "".join(out) + r"，：；？！（）％]*\z"
 
 
 _PLAIN = _plain_class()
 
 
 def regularize(df: DataFrame, value: str = "value", out: str = "regular") -> DataFrame:
-    """Adds the regular form of ``value`` as ``out``; all other columns pass through."""
+    """Adds the regular form of ``value`` as ``out``; all other columns pass through.
+
+    Values of usual characters only (and nulls) keep their form and never leave the JVM; the others go to DuckDB.
+    """
     if out in df.columns:
         raise ValueError(f"column in the way: {out}")
-    from pyspark.sql import types as T
-
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
-    sql = f"SELECT CASE WHEN v IS NULL OR regexp_full_match(v, {_lit(_PLAIN)}) THEN v ELSE {regular_sql('v')} END AS r FROM batch ORDER BY i"
+    sql = f"SELECT {regular_sql('v')} AS r FROM batch ORDER BY i"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
@@ -108,9 +111,10 @@ def regularize(df: DataFrame, value: str = "value", out: str = "regular") -> Dat
         for batch in batches:
             texts = batch.column(value).cast(pa.string())
             con.register("batch", pa.table({"v": texts, "i": pa.array(range(len(texts)), pa.int64())}))
-            done = con.execute(sql).to_arrow_table().column("r").combine_chunks()
+            done = con.sql(sql).to_arrow_table().column("r").combine_chunks()
             con.unregister("batch")
             yield pa.RecordBatch.from_arrays([*batch.columns, done.cast(pa.string())], [*batch.schema.names, out])
         con.close()
 
-    return df.mapInArrow(run, schema)
+    plain = F.coalesce(F.col(value).rlike(_PLAIN), F.lit(True))
+    return df.where(plain).withColumn(out, F.col(value)).union(df.where(~plain).mapInArrow(run, schema))

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from lexmeta.llm import label_model, truncation
 from lexmeta.llm.confusables import regularize
-from lexmeta.session import cut_lineage
 
 DEFECTS = ("empty", "refusal", "copy", "other_language", "truncated")
 
@@ -94,7 +93,7 @@ VOTES = {
     "refusal": ["v_unable", "v_apology", "v_self", "v_no_numbers", "v_unlike_source"],
     "copy": ["v_same", "v_source_grams", "v_source_part", "v_han"],
     "other_language": ["v_no_syllables", "v_foreign_words", "v_script", "v_no_marks_foreign"],
-    "truncated": ["v_cut_trigram", "v_no_final", "v_short", "v_open_quote"],
+    "truncated": ["v_cut_trigram", "v_seldom_ends", "v_broken_word", "v_short", "v_open_quote"],
 }
 
 
@@ -115,7 +114,19 @@ def _in(words: str) -> str:
 
 
 def _any_part(column: str, parts: str) -> str:
-    return "(" + " OR ".join(f"contains({column}, {_q(p)})" for p in parts.split("|")) + ")"
+    """Whether the column contains a part. Parts that begin alike are only looked for where their beginning stands, those
+    in Chinese only where there is a letter beyond U+2FFF."""
+    heads: dict[str, list[str]] = {}
+    for p in sorted(parts.split("|")):
+        heads.setdefault("" if max(p) > "\u2fff" else p[:5], []).append(p)
+    out = []
+    for head, some in heads.items():
+        any_of = " OR ".join(f"contains({column}, {_q(p)})" for p in some)
+        if head == "":
+            out.append(f"regexp_like({column}, '[^\\\\x00-\\\\u2fff]') AND ({any_of})")
+        else:
+            out.append(any_of if len(some) == 1 else f"contains({column}, {_q(head)}) AND ({any_of})")
+    return "(" + " OR ".join(out) + ")"
 
 
 def votes(df: DataFrame, key: list[str], source: str, answer: str) -> DataFrame:
@@ -140,7 +151,7 @@ def votes(df: DataFrame, key: list[str], source: str, answer: str) -> DataFrame:
         "*",
         f"CASE WHEN _odd THEN length(_l) - length(translate(_l, '{MARKED}', '')) END AS _n_marks",
         r"CASE WHEN _odd THEN length(regexp_replace(_a, '[^\\p{IsHan}]+', '')) ELSE 0 END AS _n_han",
-        r"_blanks >= 2 AND NOT regexp_like(_a, '[.!?…。！？][^\\p{L}\\p{N}.!?…。！？]*$') AS _open_end",
+        f"_blanks >= 2 AND (NOT regexp_like(_a, {_q(truncation.CLOSED)}) OR regexp_like(_a, {_q(truncation.ELLIPSIS)})) AS _open_end",
         r"_len > 40 AND regexp_like(_a, '^[^\\p{L}\\p{N}]|[^\\p{L}\\p{N}][^\\p{L}\\p{N}]$|[\\p{Z}\\p{C}\\s]{2}') AS _padded",
     ).selectExpr(
         "*",
@@ -178,62 +189,71 @@ def votes(df: DataFrame, key: list[str], source: str, answer: str) -> DataFrame:
         "v_foreign_words": f"_maybe_foreign AND exists(_w, w -> w IN {_in(NEVER_VIETNAMESE)}) AND size(filter(_w, w -> w IN {_in(FOREIGN_WORDS)})) >= 0.15 * size(_w)",
         "v_script": r"_n_han >= 5 AND _n_han >= 0.5 * _letters OR _maybe_foreign AND _letters > 0 AND length(regexp_replace(_a, '[^\\p{IsHiragana}\\p{IsKatakana}\\p{IsHangul}\\p{IsThai}\\p{IsCyrillic}\\p{IsArabic}]', '')) >= 0.2 * _letters",
         "v_no_marks_foreign": "_maybe_foreign AND size(_w) >= 3 AND _syllables < 0.8 AND _n_marks = 0",
-        "v_no_final": "_open_end",
         "v_short": r"_open_end AND _n_han = 0 AND length(_s) >= 12 AND _blanks < 0.55 * length(regexp_replace(_s, '[^\\p{IsHan}]+', ''))",
         "v_open_quote": "_open_end AND length(replace(_a, '”', '')) - length(replace(_a, '“', '')) > 0",
     }
     return sized.select(*key, *[F.expr(f"CAST(coalesce({e}, false) AS INT)").alias(v) for v, e in yes.items()])
 
 
-def all_votes(rows: DataFrame, key: str, source: str, answers: list[str], counts: DataFrame | None) -> DataFrame:
-    """One row per key and answer field with every vote; the trigram vote goes by ``counts`` (None: it votes nowhere)."""
-    pieces = ", ".join(f"'{a}', `{a}`" for a in answers)
-    values = rows.selectExpr(f"`{key}` AS _key", f"`{source}` AS _src", f"stack({len(answers)}, {pieces}) AS (field, value)")
-    out = votes(regularize(values), ["_key", "field"], "_src", "regular")
+def all_votes(values: DataFrame, keys: list[str], counts: DataFrame | None) -> DataFrame:
+    """One row per row of ``values`` (``keys``, ``src``, ``value``, ``regular``) with every vote; those by the final trigram go
+    by ``counts`` (None: they vote nowhere)."""
+    out = votes(values, keys, "src", "regular")
     if counts is None:
-        return out.withColumn("v_cut_trigram", F.lit(0)).withColumnRenamed("_key", key)
-    both = values.select(F.struct(F.col("_key").alias("k"), "field").alias("_id"), "value")
-    found = truncation.find_cut(both, "_id", "value", counts).select(F.col("_id.k").alias("_key"), F.col("_id.field").alias("field"), F.lit(1).alias("v_cut_trigram"))
-    joined = out.join(found, ["_key", "field"], "left").withColumn("v_cut_trigram", F.coalesce("v_cut_trigram", F.lit(0)))
-    return joined.withColumnRenamed("_key", key)
+        return out.withColumns({v: F.lit(0) for v in ("v_cut_trigram", "v_seldom_ends", "v_broken_word")})
+    ends = truncation.final_shares(values.select(F.struct(*keys).alias("_id"), "value"), "_id", "value", counts)
+    both = {"v_cut_trigram": F.col("share") < truncation.NEVER_ENDS, "v_seldom_ends": F.col("share") < truncation.SELDOM_ENDS, "v_broken_word": F.col("broken")}
+    found = ends.select("_id.*", *[v.cast("int").alias(k) for k, v in both.items()]).where("v_seldom_ends + v_broken_word > 0")
+    return out.join(found, keys, "left").withColumns({v: F.coalesce(v, F.lit(0)) for v in both})
+
+
+# Validation cases, of other wording than the lists above.
+REFUSALS = (
+    "Tôi e rằng mình không thể chuyển câu này sang tiếng Việt vào lúc này.", "Nội dung trên vi phạm quy định nên hệ thống từ chối xử lý.", "Thành thật xin lỗi, phần này tôi chưa thể dịch giúp bạn.",
+    "I'm afraid I won't be able to help with that passage.", "As a language model I have to decline this request.", "We regret that the text could not be processed.", "很遗憾，这段内容我不便翻译。", "该请求不符合规定，系统无法处理。",
+)
+OTHERS = (
+    "Officials said on Monday that the harbour office will hire {n} new workers before winter.", "Selon la mairie, le musée a accueilli {n} visiteurs pendant les vacances.", "Nach Angaben der Polizei wurden {n} Fahrzeuge an der Brücke kontrolliert.",
+    "Según el alcalde, la biblioteca abrió {n} salas nuevas para los estudiantes.", "Menurut pejabat setempat, rumah sakit itu telah menerima {n} pasien baru.", "По словам мэра, новый мост откроют через {n} дней.", "市立図書館は来月から{n}冊の本を貸し出します。", "시립 도서관은 다음 달부터 책 {n}권을 빌려줍니다.",
+)
 
 
 def planted(clean: DataFrame, key: str, source: str, answer: str) -> DataFrame:
-    """Validation cases: each clean pair as it is, and once with every defect that can be made by rule."""
-    half = f"substring({answer}, 1, CAST(length({answer}) * (0.35 + pmod(hash({key}), 40) / 100.0) AS INT))"
+    """Validation cases (``case``, ``truth``, ``src``, ``value``): each clean pair as it is, without its final mark, and once with
+    every defect that can be made by rule."""
+    pick = lambda texts: f"element_at(array({', '.join(_q(t) for t in texts)}), 1 + pmod(hash({key}), {len(texts)}))"
     made = {
-        "none": answer, "empty": f"IF(pmod(hash({key}), 2) = 0, '  ', 'n/a')", "copy": source, "truncated": half,
-        "other_language": "concat('The new bridge of the city was opened after ', pmod(hash(reference_vi), 90), ' days of work because the old one had been closed.')".replace("reference_vi", answer),
-        "refusal": f"element_at(array('Xin lỗi, tôi không thể dịch nội dung này.', 'I am sorry, but I cannot translate this text.', '抱歉，我无法翻译这段文字。'), 1 + pmod(hash({key}), 3))",
+        "none": answer, "open": rf"regexp_replace({answer}, '[\\p{{P}}\\s]+$', '')", "empty": pick(("  ", "--", "N.A.", "(null)", "…")), "copy": source,
+        "truncated": f"substring({answer}, 1, CAST(length({answer}) * (0.35 + pmod(hash({key}), 40) / 100.0) AS INT))",
+        "other_language": f"replace({pick(OTHERS)}, '{{n}}', CAST(pmod(hash({answer}), 90) AS STRING))",
+        "refusal": pick(REFUSALS),
     }
     pieces = ", ".join(f"'{d}', {e}" for d, e in made.items())
-    cases = clean.selectExpr(f"`{key}`", f"`{source}` AS src", f"stack({len(made)}, {pieces}) AS (truth, ans)")
-    return cases.selectExpr(f"concat(`{key}`, ':', truth) AS case", "truth", "src", "ans")
+    cases = clean.selectExpr(f"`{key}`", f"`{source}` AS src", f"stack({len(made)}, {pieces}) AS (truth, value)")
+    return cases.selectExpr(f"concat(`{key}`, ':', truth) AS case", "truth", "src", "value")
 
 
-def label_pairs(rows: DataFrame, key: str, source: str, answers: list[str], clean: DataFrame | None = None, clean_key: str = "item_id", cut: bool = True) -> DataFrame:
-    """(``key``, ``field``, ``labels``, ``posteriors``): every label whose posterior exceeds its validated cutoff.
+def label_values(values: DataFrame, keys: list[str], clean: DataFrame | None, counts: DataFrame | None) -> DataFrame:
+    """(``keys``, ``labels``, ``posteriors``): every label of an answer whose posterior exceeds its validated cutoff.
 
-    ``clean`` (a bounded table of sound pairs, with ``source`` and the first of its answers present) validates the
-    cutoffs; without it they are 0.5. Rows without any label come out with an empty array.
+    ``values`` holds the keys, ``src``, ``value`` and its regular form ``regular``. ``clean`` (columns ``item_id``, ``src``,
+    ``value`` of sound pairs) validates the cutoffs; without it they are 0.5. ``counts`` are the trigram counts of the corpus
+    (see truncation); without them no answer is ``truncated``. Answers without any label come out with an empty array.
     """
-    # Written out, for it is read twice; a cached table wouldn't outlive the views of the first query.
-    counts = cut_lineage(truncation.count_grams(rows.select(F.explode(F.array(*answers)).alias("text")), "text")) if cut else None
-    voted = all_votes(rows, key, source, answers, counts).persist()
-    cutoffs = dict.fromkeys(DEFECTS, 0.5)
-    tables = {d: label_model.fit(*label_model.vote_patterns(voted, VOTES[d])) for d in DEFECTS if cut or d != "truncated"}
+    voted = all_votes(values, keys, counts).persist()
+    asked = {d: VOTES[d] for d in DEFECTS if counts is not None or d != "truncated"}
+    cutoffs, judged = dict.fromkeys(DEFECTS, 0.5), {}
     if clean is not None:
-        answer = next(a for a in answers if a in clean.columns)
-        cases = planted(clean, clean_key, source, answer)
-        checked = all_votes(cases, "case", "src", ["ans"], counts).join(cases.select("case", "truth"), "case")
-        kept = [c for c in dict.fromkeys(v for d in tables for v in VOTES[d])]
-        # At most six cases for each row of the clean table, which is of fixed size.
-        sample = checked.select("truth", *kept).toPandas()
-        for d, table in tables.items():
-            scores = np.array([table.get(tuple(int(x) for x in r), 0.0) for r in sample[VOTES[d]].to_numpy()])
-            cutoffs[d] = label_model.best_cutoff(scores, (sample["truth"] == d).to_numpy())
-    post = voted.select(key, "field", "v_cut_trigram", *[label_model.posterior(VOTES[d], t).alias(d) for d, t in tables.items()])
-    # The final trigram has the last word on cuts: the other votes alone can't tell a missing final mark from one.
-    sure = {d: F.col(d) > cutoffs[d] for d in tables} | ({"truncated": (F.col("truncated") > cutoffs["truncated"]) & (F.col("v_cut_trigram") == 1)} if cut else {})
-    labels = F.array_compact(F.array(*[F.when(sure[d], F.lit(d)) for d in tables]))
-    return post.select(key, "field", labels.alias("labels"), F.struct(*tables).alias("posteriors"))
+        cases = planted(clean, "item_id", "src", "value")
+        checked = all_votes(regularize(cases.select("case", "src", "value")), ["case"], counts).join(cases.select("case", "truth"), "case")
+        for d, (patterns, truth, n) in label_model.judged_patterns(checked, asked, "truth").items():
+            some = np.isin(truth, (d, "none", "open"))  # a case made for another defect may have this one as well
+            if (truth == d).any() and (truth == "none").any():
+                judged[d] = (patterns[some], truth[some] == d, n[some])
+    tables = {d: label_model.fit(*some, known=label_model.rates(*judged[d]) if d in judged else None) for d, some in label_model.vote_patterns(voted, asked).items()}
+    for d, (patterns, truth, n) in judged.items():
+        scores = np.array([tables[d].get(tuple(int(x) for x in p), 0.0) for p in patterns])
+        cutoffs[d] = label_model.best_cutoff(scores, truth, n)
+    post = voted.select(*keys, *[label_model.posterior(VOTES[d], t).alias(d) for d, t in tables.items()])
+    labels = F.array_compact(F.array(*[F.when(F.col(d) > cutoffs[d], F.lit(d)) for d in tables]))
+    return post.select(*keys, labels.alias("labels"), F.struct(*tables).alias("posteriors"))

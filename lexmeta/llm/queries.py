@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmeta.llm import confusables, consensus, leakage, mojibake, pairs, tokenizer, toxicity, truncation
 from lexmeta.llm.charmodel import PairModel
+from lexmeta.session import cut_lineage
 from lexmeta.sources.tables import table
 
 KEYS = ["row_id"]
@@ -16,12 +17,10 @@ KEYS = ["row_id"]
 
 def _models(spark: SparkSession, d: str) -> dict[str, PairModel]:
     """Pair models of Chinese and Vietnamese text, counted over all documents and held-out items."""
-    docs = table(spark, d, "documents", "text").where("text IS NOT NULL")
     items = table(spark, d, "heldout_item", "source_zh", "reference_vi")
-    han = F.expr(r"length(regexp_replace(text, '[^\\p{IsHan}]', '')) > 0.3 * length(text)")
-    zh = docs.where(han).union(items.select("source_zh"))
-    vi = docs.where(~han).union(items.select("reference_vi"))
-    return {"source_zh": PairModel.fit(zh), "reference_vi": PairModel.fit(vi)}
+    texts = table(spark, d, "documents", "text").union(items.select(F.explode(F.array("source_zh", "reference_vi")).alias("text")))
+    han, other = PairModel.fit_by_script(texts)
+    return {"source_zh": han, "reference_vi": other}
 
 
 def _garbled(spark: SparkSession, d: str, values: DataFrame, models: dict[str, PairModel] | None = None) -> DataFrame:
@@ -65,26 +64,32 @@ def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
     return consensus.agreement(table(spark, d, "human_cross", "id", "system_id", "primary_rater", "primary_score", "cross_rater", "cross_score"))
 
 
-def _labels(spark: SparkSession, d: str, answers: list[str], cut: bool = True, models: dict[str, PairModel] | None = None) -> DataFrame:
-    rows = table(spark, d, "benchmark_row", "row_id", "source_zh", *answers)
-    clean = table(spark, d, "heldout_item", "item_id", "source_zh", "reference_vi")
-    if "reference_vi" not in answers:
-        clean = clean.withColumnRenamed("reference_vi", answers[0])
-    found = pairs.label_pairs(rows, "row_id", "source_zh", answers, clean, cut=cut).where("size(labels) > 0")
-    if "reference_vi" not in answers:
-        return found
-    # Values that were read with a wrong encoding have a defect of another kind.
-    suspects = found.where("field = 'reference_vi'").join(rows.select("row_id", "reference_vi"), "row_id").select("row_id", "field", F.col("reference_vi").alias("value"))
+def _counts(rows: DataFrame) -> DataFrame:
+    """Trigram counts of all answers, written out, for they are read more than once."""
+    return cut_lineage(truncation.count_grams(rows.select(F.explode(F.array("prediction_vi", "reference_vi")).alias("text")), "text"))
+
+
+def _clean(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "heldout_item", "item_id", "source_zh", "reference_vi").toDF("item_id", "src", "value")
+
+
+def _not_garbled(spark: SparkSession, d: str, found: DataFrame, models: dict[str, PairModel] | None = None) -> DataFrame:
+    """References that were read with a wrong encoding have a defect of another kind."""
+    rows = table(spark, d, "benchmark_row", "row_id", "reference_vi")
+    suspects = found.where("field = 'reference_vi'").join(rows, "row_id").select("row_id", "field", F.col("reference_vi").alias("value"))
     return found.join(_garbled(spark, d, suspects, models).select("row_id", "field"), ["row_id", "field"], "left_anti")
 
 
 def p4_labels(spark: SparkSession, d: str) -> DataFrame:
     """All labels of the defective answers."""
-    return _labels(spark, d, ["prediction_vi", "reference_vi"]).select("row_id", "field", "labels")
+    rows = table(spark, d, "benchmark_row", "row_id", "source_zh", "prediction_vi", "reference_vi")
+    values = rows.selectExpr("row_id", "source_zh AS src", "stack(2, 'prediction_vi', prediction_vi, 'reference_vi', reference_vi) AS (field, value)")
+    found = pairs.label_values(confusables.regularize(values), ["row_id", "field"], _clean(spark, d), _counts(rows)).where("size(labels) > 0")
+    return _not_garbled(spark, d, found).select("row_id", "field", "labels")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return p4_labels(spark, d).select("row_id", "field", F.col("labels")[0].alias("defect"))
+    return p4_labels(spark, d).select("row_id", "field", F.get("labels", F.lit(0)).alias("defect"))
 
 
 def p5_regular(spark: SparkSession, d: str) -> DataFrame:
@@ -94,20 +99,22 @@ def p5_regular(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Only the values that have another regular form are held against problems 2 and 4, by models of all texts."""
     rows = table(spark, d, "benchmark_row", "row_id", "source_zh", "reference_vi", "prediction_vi")
-    changed = confusables.regularize(_values(rows, "source_zh", "reference_vi", "prediction_vi")).where("NOT value <=> regular").select("row_id", "field", "value").persist()
-    models = _models(spark, d)
-    garbled = _garbled(spark, d, changed.where("field <> 'prediction_vi'"), models).select("row_id", "field")
-    defective = _labels(spark, d, ["prediction_vi", "reference_vi"], models=models).select("row_id", "field")
+    values = rows.selectExpr("row_id", "source_zh AS src", "stack(3, 'source_zh', source_zh, 'reference_vi', reference_vi, 'prediction_vi', prediction_vi) AS (field, value)")
+    changed = cut_lineage(confusables.regularize(values).where("NOT value <=> regular"))
+    garbled = _garbled(spark, d, changed.where("field <> 'prediction_vi'")).select("row_id", "field")
+    counts = _counts(rows)
+    defective = pairs.label_values(changed.where("field <> 'source_zh'"), ["row_id", "field"], _clean(spark, d), counts).where("size(labels) > 0").select("row_id", "field")
     return changed.select("row_id", "field").join(garbled.union(defective), ["row_id", "field"], "left_anti")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Cut predictions; those with a defect that comes first (nothing to read, refusal, copy, other language) are no cuts."""
-    rows = table(spark, d, "benchmark_row", "row_id", "prediction_vi", "reference_vi")
-    texts = rows.select(F.explode(F.array("prediction_vi", "reference_vi")).alias("text"))
-    cut = truncation.find_cut(rows, "row_id", "prediction_vi", truncation.count_grams(texts, "text"))
-    return cut.select("row_id").join(_labels(spark, d, ["prediction_vi"], cut=False).select("row_id"), "row_id", "left_anti")
+    rows = table(spark, d, "benchmark_row", "row_id", "source_zh", "prediction_vi", "reference_vi")
+    counts = _counts(rows)
+    values = confusables.regularize(rows.selectExpr("row_id", "source_zh AS src", "prediction_vi AS value"))
+    return pairs.label_values(values, ["row_id"], _clean(spark, d), counts).where("get(labels, 0) = 'truncated'").select("row_id")
 
 
 def p6_rates(spark: SparkSession, d: str) -> DataFrame:

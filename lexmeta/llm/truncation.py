@@ -1,10 +1,13 @@
 """Text cut off by field limits or in transfer, found with word trigrams in pure SQL.
 
-All texts of a table are folded (no marks, numbers as ``#``, names inside sentences as ``*``) and their word trigrams
-counted twice: *terminal* where a sentence mark follows, *internal* where another word does. A text that closes with no
-sentence mark is looked up by its final trigram: frequent inside and almost never terminal means cut. A trigram seen too
-seldom falls back to its last two words, then to the last one; a last word that nowhere stands complete is cut in
-mid-word. Texts that end in an opening quote, a comma or a colon are cut as well.
+The word trigrams of all texts are counted twice: *terminal* where a sentence mark follows, *internal* where more text
+does. Each also counts as a *longer* form of every trigram whose last word is a proper beginning of its own. A text that
+closes with no sentence mark, or with an ellipsis, is looked up by its final trigram: seen often, as it stands or
+longer, and almost never terminal means cut. Numbers are ``#``, commas and opening quotes words of their own (so a text
+that ends in one is cut by its trigram), marks and capitals don't matter. Trigrams with names are also counted with
+``*`` for each name. Pairs are counted likewise; the share of terminal ends is that of the pair, corrected by that of
+the trigram, each as far as it was seen (no form needs a least number of occurrences). Single words only tell whether
+the last one is hardly ever whole (a comma or opening mark at the end counts as such); that speaks for a cut where pair and trigram say nothing.
 
 A missing final mark alone is no cut: the final trigram is then one that often ends sentences elsewhere. Null, empty
 and blank texts are not cut. Repeated rows count as often as they come. Other columns don't matter.
@@ -23,12 +26,11 @@ _PAIRS = [(ch, {"đ": "d", "Đ": "D"}.get(ch) or unicodedata.normalize("NFKD", c
 FROM = "".join(a for a, b in _PAIRS if b.isascii() and b not in "'\\")
 TO = "".join(b for a, b in _PAIRS if b.isascii() and b not in "'\\")
 
-#: Occurrences a trigram, pair or word needs to be judged by; share of terminal ones below which an end is a cut; the
-#: same for a last word in a pair that is found nowhere else, which speaks for a cut by itself.
-SUPPORT, TERMINAL_SHARE, WORD_SHARE = 4, 0.04, 0.25
-#: Texts with signs of no Vietnamese text, Han letters or question marks inside words are read wrongly or foreign; their
-#: fragments would pass for words, so they are looked up but not counted.
-UNCOUNTED = r"[^\x00-\x7f\u00a0\u00ad\u00c0-\u024f\u0300-\u036f\u1e00-\u1eff\u2000-\u200f\u2013\u2018-\u201d\u2026\u202f\u2060\ufeff]|[=<>#$&*@^_`{|}~]|\?[a-zA-Z\u00c0-\u1eff]|[\u00c3\u00c4\u00c6\u00d0][^a-zA-Z\u00c0-\u1eff\s]"
+#: Share of terminal ends below which an end is surely a cut, and probably one; occurrences that the next shorter form weighs; the share of
+#: ends that are terminal, for pairs never seen. Share of whole words below which a last word is a part of one.
+NEVER_ENDS, SELDOM_ENDS, BACKING, ANY_WORD, BROKEN = 0.02, 0.08, 1.0, 0.1, 0.002
+#: A sentence mark with no letter, digit or further mark after it; an ellipsis at the end.
+CLOSED, ELLIPSIS = r"[.!?。！？．][^\p{L}\p{N}.!?…。！？．]*$", r"(?:\.\.|…)[^\p{L}\p{N}]*$"
 
 
 def fold(text: str) -> str:
@@ -37,85 +39,91 @@ def fold(text: str) -> str:
     return f"translate({bare}, '{FROM}', '{TO}')"
 
 
-def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, ``raw``, ``words``, ``open_end``, ``capitals``, ``countable``): words folded, and folded into classes.
+def _sql(pattern: str) -> str:
+    """A string literal, in a query that holds tables in braces."""
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'").replace("{", "{{").replace("}", "}}") + "'"
+
+
+def words(text: str) -> str:
+    """SQL for the words of a text as an array of strings: as written, but for numbers (``#``), sentence marks (``.``) and
+    commas, colons and opening marks (``,``). Texts without small letters are read as if written in small ones."""
+    out = f"IF(regexp_like({text}, {_sql(chr(92) + 'p{Ll}')}), {text}, lower({text}))"
+    for pattern, by in ((r"[\p{Mn}\p{Cf}]+", ""), (r"[0-9]+(?:[.,][0-9]+)*", "#"), (r"[.!?…。！？．]+[^\p{L}\p{N}#]*", " . "), (r"[,;:–—“‘«(，；：、（][^\p{L}\p{N}#.]*", " , "), (r"[^\p{L}\p{N}#.,]+", " ")):
+        out = f"regexp_replace({out}, {_sql(pattern)}, '{by}')"
+    return f"split(trim({out}), ' ')"
 
-    A sentence mark with its closing quotes is the word ".". In texts all in capitals names can't be told apart; they
-    are judged by well-known trigrams only.
-    """
-    # An array of one, transformed, binds a value that is used in several places; a plain column would be worked out in each.
-    return df.select(key, F.col(text).alias("_text")).selectExpr(
-        f"`{key}`",
-        f"""inline(transform(filter(array({fold("_text")}), t -> trim(t) <> ''), t -> named_struct(
-            'raw', regexp_extract_all(regexp_replace(t, '[.!?…。]+[”\\"’»)]*', ' . '), '[\\\\p{{L}}\\\\p{{N}}]+|\\\\.', 0),
-            'open_end', regexp_like(t, '[,;:–“‘«(]\\\\s*$'), 'capitals', t = upper(t),
-            'countable', NOT regexp_like(_text, '{UNCOUNTED.replace(chr(92), chr(92) * 2).replace("'", chr(92) + "'")}'))))""",
-    ).selectExpr(
-        f"`{key}`", "open_end", "capitals", "countable", "raw",
-        """transform(array(raw), r -> transform(r, (w, i) -> CASE WHEN w = '.' THEN w WHEN w < ':' AND w >= '0' THEN '#' WHEN capitals THEN lower(w)
-            WHEN i > 0 AND w < '[' AND r[i - 1] <> '.' THEN '*' ELSE lower(w) END))[0] AS words""",
-    )
 
+CAPITAL = _sql(r"(^| )\p{Lu}[^ ]*")
 
 # Shifted arrays side by side give every word with the two before it and the next one, without a function per word.
 GRAMS = """
-SELECT concat(a, ' ', b, ' ', c) AS tri, CASE WHEN capitals THEN '' WHEN b = '.' OR b = '^' THEN lower(raw) ELSE raw END AS raw, sum(terminal) AS terminal, sum(internal) AS internal
-FROM (SELECT capitals, g.a, g.b, g.c, g.r AS raw, count_if(g.n = '.') AS terminal, count_if(g.n <> '.') AS internal
-  FROM (SELECT capitals, explode(arrays_zip(a, b, c, r, n)) AS g
-    FROM (SELECT capitals, concat(array('^', '^'), words) AS a, concat(array('^'), words) AS b, words AS c, raw AS r, slice(words, 2, size(words)) AS n
-      FROM {tokens} WHERE countable AND size(words) >= 2))
-  WHERE g.n IS NOT NULL AND g.c <> '.'
-  GROUP BY capitals, g.a, g.b, g.c, g.r)
-GROUP BY 1, 2
+SELECT g.a, g.b, g.c, count_if(g.n = '.') AS terminal, count_if(g.n <> '.') AS internal
+FROM (SELECT explode(arrays_zip(a, b, c, n)) AS g
+  FROM (SELECT concat(array('^', '^'), w) AS a, concat(array('^'), w) AS b, w AS c, slice(w, 2, size(w)) AS n
+    FROM (SELECT {words} AS w FROM {corpus} WHERE {text} IS NOT NULL)))
+WHERE g.n IS NOT NULL AND g.c <> '.'
+GROUP BY g.a, g.b, g.c
+"""
+
+# A form and its level: 5 and 4 trigrams with names as they are and as *, 3 and 2 pairs likewise, 1 the word with its marks.
+FORMS = """
+SELECT *, inline(array_compact(array(named_struct('level', 5, 'gram', concat('3 ', plain)), IF(named = plain, NULL, named_struct('level', 4, 'gram', concat('3 ', named))),
+    named_struct('level', 3, 'gram', concat('2 ', substring_index(plain, ' ', -2))), IF(substring_index(named, ' ', -2) = substring_index(plain, ' ', -2), NULL, named_struct('level', 2, 'gram', concat('2 ', substring_index(named, ' ', -2)))),
+    named_struct('level', 1, 'gram', concat('1 ', lower(c))))))
+FROM (SELECT * EXCEPT (a, b), translate(lower(concat(a, ' ', b, ' ', c)), {source}, {target}) AS plain,
+    translate(lower(regexp_replace(concat(a, ' ', b, ' ', c), {capital}, '$1*')), {source}, {target}) AS named FROM {grams})
 """
 
 COUNTS = """
-SELECT n, gram, sum(terminal) AS terminal, sum(internal) AS internal
-FROM (SELECT terminal, internal, inline(array(named_struct('n', 3, 'gram', tri), named_struct('n', 2, 'gram', substring_index(tri, ' ', -2)),
-    named_struct('n', 1, 'gram', substring_index(tri, ' ', -1)), named_struct('n', 0, 'gram', raw), named_struct('n', -1, 'gram', lower(raw)))) FROM {grams})
-GROUP BY n, gram
+SELECT gram, sum(terminal) AS terminal, sum(internal) AS internal, sum(longer) AS longer
+FROM (SELECT substring(gram, 1, length(gram) - k) AS gram, IF(k = 0, terminal, 0) AS terminal, IF(k = 0, internal, 0) AS internal, IF(k = 0, 0, terminal + internal) AS longer
+  FROM (SELECT *, explode(sequence(0, length(substring_index(gram, ' ', -1)) - 1)) AS k
+    FROM (SELECT gram, sum(terminal) AS terminal, sum(internal) AS internal FROM {forms} GROUP BY gram)))
+GROUP BY gram
 """
 
+# An array of one, transformed, binds a value that is used in several places; a plain column would be worked out in each.
 FINALS = """
-SELECT {key}, open_end, capitals, inline(transform(array(struct(raw, words, size(words) AS k)), s -> array(
-    named_struct('n', 3, 'gram', concat_ws(' ', IF(s.k > 2, s.words[s.k - 3], '^'), IF(s.k > 1, s.words[s.k - 2], '^'), s.words[s.k - 1])),
-    named_struct('n', 2, 'gram', concat_ws(' ', IF(s.k > 1, s.words[s.k - 2], '^'), s.words[s.k - 1])),
-    named_struct('n', 1, 'gram', s.words[s.k - 1]),
-    named_struct('n', IF(capitals, -1, 0), 'gram', IF(capitals, lower(s.raw[s.k - 1]), s.raw[s.k - 1]))))[0])
-FROM {tokens} WHERE size(words) > 0 AND words[size(words) - 1] <> '.'
+SELECT {key}, g.*
+FROM (SELECT {key}, explode(filter(transform(transform(array({words}), w -> struct(w, size(w) - IF(size(w) > 1 AND w[size(w) - 1] = '.', 1, 0) AS k)),
+    x -> struct(IF(x.k > 2, x.w[x.k - 3], '^') AS a, IF(x.k > 1, x.w[x.k - 2], '^') AS b, x.w[x.k - 1] AS c)), x -> x.c NOT IN ('', '.'))) AS g
+  FROM {open_ended})
 """
 
+# Each level's share, corrected by the next longer form as far as it was seen; a broken word starts from none.
 VERDICT = """
-SELECT {key}, bool_or(open_end) OR coalesce(max(IF(n <= 0, seen, NULL)), 0) < {support}
-    OR coalesce(max(IF(n = 3 AND seen >= {support}, share, NULL)), max(IF(n = 2 AND seen >= {support}, share, NULL)),
-                IF(bool_or(capitals), 1.0, max(IF(n = 1, share, NULL)) * {cutoff} / {word_cutoff}), 0.0) < {cutoff} AS cut,
-  max_by(gram, n) AS final_trigram
-FROM (SELECT f.{key}, f.open_end, f.capitals, f.n, f.gram, coalesce(c.terminal + c.internal, 0) AS seen,
-        c.terminal / (c.terminal + c.internal) AS share
-      FROM {finals} f LEFT JOIN {counts} c ON c.n = f.n AND c.gram = f.gram)
-GROUP BY {key}
+SELECT {key}, final_trigram, broken, aggregate(array(2, 3, 4, 5), IF(broken, 0, CAST({any_word} AS DOUBLE)), (share, i) -> (coalesce(seen[i].terminal, 0) + {backing} * share) / (coalesce(seen[i].whole + seen[i].longer, 0) + {backing})) AS share
+FROM (SELECT f.{key}, max(IF(f.level = 5, substring(f.gram, 3), NULL)) AS final_trigram, bool_or(f.level = 1 AND (f.gram = '1 ,' OR coalesce(c.terminal + c.internal < {broken} * c.longer, false))) AS broken,
+    map_from_entries(collect_list(struct(f.level, struct(c.terminal, c.terminal + c.internal AS whole, c.longer)))) AS seen
+  FROM {forms} f LEFT JOIN {counts} c ON c.gram = f.gram
+  GROUP BY f.{key})
 """
 
 
 def count_grams(corpus: DataFrame, text: str) -> DataFrame:
-    """(n, gram, terminal, internal) over all texts: trigrams, pairs, words, and words as written."""
-    counted = tokens(corpus.select(F.lit(0).alias("_k"), F.col(text)), "_k", text)
-    grams = corpus.sparkSession.sql(GRAMS, tokens=counted)
-    return corpus.sparkSession.sql(COUNTS, grams=grams)
+    """(gram, terminal, internal, longer) over all texts: trigrams, pairs and words; see the module's text."""
+    spark = corpus.sparkSession
+    grams = spark.sql(GRAMS.format(words=words(text), text=text, corpus="{corpus}"), corpus=corpus.select(text))
+    return spark.sql(COUNTS, forms=spark.sql(FORMS.format(source=_sql(FROM), target=_sql(TO), capital=CAPITAL, grams="{grams}"), grams=grams))
 
 
-def find_cut(df: DataFrame, key: str, text: str, counts: DataFrame) -> DataFrame:
-    """(``key``, ``final_trigram``) of the cut texts, by the counts of a corpus (usually of the texts themselves).
+def final_shares(df: DataFrame, key: str, text: str, counts: DataFrame) -> DataFrame:
+    """(``key``, ``final_trigram``, ``share``, ``broken``) of the open-ended texts: how often such an end is terminal in the
+    corpus, and whether the last word is hardly ever a whole one.
 
-    Counting shuffles (trigram, counts) after a map-side sum, and the join shuffles four rows per open-ended text; no
-    text is broadcast, collected or sent to one task.
+    Counting shuffles (trigram, counts) after a map-side sum, and the join shuffles at most five rows per open-ended
+    text; no text is broadcast, collected or sent to one task.
     """
     spark = df.sparkSession
-    # The last letter, digit or sentence mark decides whether a text is closed; only open ones are looked at.
-    open_ended = df.where(~F.col(text).rlike(r"[.!?…。！？．][^\p{L}\p{N}.!?…。！？．]*$"))
-    finals = spark.sql(FINALS.format(tokens="{tokens}", key=key), tokens=tokens(open_ended, key, text))
-    verdict = spark.sql(VERDICT.format(key=key, support=SUPPORT, cutoff=TERMINAL_SHARE, word_cutoff=WORD_SHARE, finals="{finals}", counts="{counts}"), finals=finals, counts=counts)
-    return verdict.where("cut").select(key, "final_trigram")
+    open_ended = df.where(~F.col(text).rlike(CLOSED) | F.col(text).rlike(ELLIPSIS)).select(key, text)
+    finals = spark.sql(FINALS.format(words=words(text), key=key, open_ended="{open_ended}"), open_ended=open_ended)
+    forms = spark.sql(FORMS.format(source=_sql(FROM), target=_sql(TO), capital=CAPITAL, grams="{grams}"), grams=finals)
+    return spark.sql(VERDICT.format(key=key, any_word=ANY_WORD, backing=BACKING, broken=BROKEN, forms="{forms}", counts="{counts}"), forms=forms, counts=counts)
+
+
+def find_cut(df: DataFrame, key: str, text: str, counts: DataFrame) -> DataFrame:
+    """(``key``, ``final_trigram``) of the cut texts, by the counts of a corpus (usually of the texts themselves)."""
+    return final_shares(df, key, text, counts).where(F.col("share") < SELDOM_ENDS).select(key, "final_trigram")
 
 
 def cut_rates(rows: DataFrame, cut: DataFrame, key: str, source: str) -> DataFrame:
