@@ -42,7 +42,7 @@ TASK = (
 )
 MARKED = "ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉĩịọỏốồổỗộớờởỡợụủũứừửữựỳỵỷỹ"
 #: Shape of a Vietnamese syllable without marks.
-SYLLABLE = r"^(?:ngh|ng|nh|gh|gi|kh|ch|th|tr|ph|qu|[bcdghklmnprstvx])?(?:uye|uyu|oai|oay|oeo|uoi|uou|ieu|yeu|uay|uya|ai|ao|au|ay|eo|eu|ia|ie|iu|oa|oe|oi|oo|ua|ue|ui|uo|uu|uy|ye|[aeiouy])(?:ng|nh|ch|[cmnpt])?$"
+SYLLABLE = r"(?:ngh|ng|nh|gh|gi|kh|ch|th|tr|ph|qu|[bcdghklmnprstvx])?(?:uye|uyu|oai|oay|oeo|uoi|uou|ieu|yeu|uay|uya|ai|ao|au|ay|eo|eu|ia|ie|iu|oa|oe|oi|oo|ua|ue|ui|uo|uu|uy|ye|[aeiouy])(?:ng|nh|ch|[cmnpt])?"
 # Frequent words of other languages written in Latin letters.
 FOREIGN_WORDS = (
     "the|of|and|to|with|for|was|were|by|from|that|which|after|before|while|because|its|has|have|will|than|more|this|is|are|at|on"
@@ -109,8 +109,8 @@ def _q(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _in(words: str) -> str:
-    return "(" + ", ".join(f"'{w}'" for w in words.split("|")) + ")"
+def _word(pattern: str) -> str:
+    return rf"(?<!\p{{L}})(?:{pattern})(?!\p{{L}})"
 
 
 def _any_part(column: str, parts: str) -> str:
@@ -146,7 +146,7 @@ def votes(df: DataFrame, key: list[str], source: str, answer: str) -> DataFrame:
     ).selectExpr(
         "*",
         # Few marks, many bytes between blanks or a letter of another script: else the text is Vietnamese.
-        f"_bytes - _len < 0.6 * _blanks OR _bytes > 9 * _blanks OR regexp_like(_a, '{OTHER_SCRIPT}') AS _odd",
+        f"_bytes - _len < 0.6D * _blanks OR _bytes > 9 * _blanks OR regexp_like(_a, '{OTHER_SCRIPT}') AS _odd",
     ).selectExpr(
         "*",
         f"CASE WHEN _odd THEN length(_l) - length(translate(_l, '{MARKED}', '')) END AS _n_marks",
@@ -155,22 +155,22 @@ def votes(df: DataFrame, key: list[str], source: str, answer: str) -> DataFrame:
         r"_len > 40 AND regexp_like(_a, '^[^\\p{L}\\p{N}]|[^\\p{L}\\p{N}][^\\p{L}\\p{N}]$|[\\p{Z}\\p{C}\\s]{2}') AS _padded",
     ).selectExpr(
         "*",
-        "_odd AND _n_marks < 0.3 * _blanks AS _maybe_foreign",
+        "_odd AND _n_marks < 0.3D * _blanks AS _maybe_foreign",
         # What is left without blanks and marks at the ends, of any length before; long answers that start and end with a letter or digit skip it.
         rf"CASE WHEN _len <= 40 OR _padded THEN lower(trim(regexp_replace(_a, '{_ENDS}', ''))) END AS _strip",
-        r"CASE WHEN _len <= 40 OR _padded OR _maybe_refusal OR _odd THEN length(regexp_replace(_a, '[\\p{Z}\\p{C}\\s]+', '')) ELSE _len END AS _solid",
+        r"CASE WHEN _len <= 40 THEN length(regexp_replace(_a, '[\\p{Z}\\p{C}\\s]+', '')) ELSE _len END AS _solid",
         f"CASE WHEN _maybe_refusal OR _odd THEN {truncation.fold('_l')} END AS _f",
         # Only answers with Han letters get as far as comparing grams with the source.
         rf"CASE WHEN _n_han >= 5 THEN {_han('_s')} END AS _hs",
         rf"CASE WHEN _n_han >= 5 THEN {_han('_a')} END AS _ha",
     ).selectExpr(
         "*",
-        r"CASE WHEN _maybe_foreign THEN filter(split(regexp_replace(_f, '[^\\p{L}]+', ' '), ' '), w -> w <> '') END AS _w",
+        r"CASE WHEN _maybe_foreign THEN regexp_count(_f, '\\p{L}+') END AS _n_words",
         r"CASE WHEN _maybe_foreign OR _n_han >= 5 THEN length(regexp_replace(_a, '[^\\p{L}]', '')) END AS _letters",
         """CASE WHEN length(_ha) >= 5 AND length(_hs) >= 5 THEN transform(array(struct(
              transform(sequence(1, length(_hs) - 2), i -> substring(_hs, i, 3)) AS s, transform(sequence(1, length(_ha) - 2), i -> substring(_ha, i, 3)) AS a)),
-             x -> size(array_intersect(x.s, x.a)) / size(array_distinct(x.s)))[0] ELSE 0.0 END AS _grams""",
-    ).selectExpr("*", f"CASE WHEN _maybe_foreign THEN size(filter(_w, w -> w RLIKE {_q(SYLLABLE)})) / greatest(size(_w), 1) END AS _syllables")
+             x -> size(array_intersect(x.s, x.a)) / size(array_distinct(x.s)))[0] ELSE 0.0D END AS _grams""",
+    ).selectExpr("*", f"CASE WHEN _maybe_foreign THEN regexp_count(_f, {_q(_word(SYLLABLE))}) / greatest(_n_words, 1) END AS _syllables")
     task = f"regexp_like(_f, {_q('(?:' + TASK + ')')})"
     yes = {
         "v_nothing": r"_a IS NULL OR NOT regexp_like(_a, '[\\p{L}\\p{N}]')",
@@ -182,23 +182,23 @@ def votes(df: DataFrame, key: list[str], source: str, answer: str) -> DataFrame:
         "v_no_numbers": "_maybe_refusal AND _len > 9 AND regexp_like(_s, '[0-9]') AND NOT regexp_like(regexp_replace(_a, '[(（][^)）]*[)）]', ''), '[0-9]')",
         "v_unlike_source": f"_maybe_refusal AND _solid > 9 AND _solid < 160 AND {task} AND regexp_like(_f, {_q('(?:' + UNABLE + ')')})",
         "v_same": "_len > 4 AND _odd AND regexp_replace(_a, '[\\\\p{Z}\\\\p{C}\\\\s]+', '') = regexp_replace(_s, '[\\\\p{Z}\\\\p{C}\\\\s]+', '')",
-        "v_source_grams": "_grams >= 0.6",
+        "v_source_grams": "_grams >= 0.6D",
         "v_source_part": "length(_hs) >= 4 AND instr(_ha, substring(_hs, 1, 8)) > 0",
-        "v_han": "_n_han >= 5 AND _n_han >= 0.3 * _letters",
-        "v_no_syllables": "_maybe_foreign AND size(_w) >= 3 AND _syllables < 0.62 AND _solid > 9 OR _n_han >= 5 AND _n_han >= 0.5 * _letters",
-        "v_foreign_words": f"_maybe_foreign AND exists(_w, w -> w IN {_in(NEVER_VIETNAMESE)}) AND size(filter(_w, w -> w IN {_in(FOREIGN_WORDS)})) >= 0.15 * size(_w)",
-        "v_script": r"_n_han >= 5 AND _n_han >= 0.5 * _letters OR _maybe_foreign AND _letters > 0 AND length(regexp_replace(_a, '[^\\p{IsHiragana}\\p{IsKatakana}\\p{IsHangul}\\p{IsThai}\\p{IsCyrillic}\\p{IsArabic}]', '')) >= 0.2 * _letters",
-        "v_no_marks_foreign": "_maybe_foreign AND size(_w) >= 3 AND _syllables < 0.8 AND _n_marks = 0",
-        "v_short": r"_open_end AND _n_han = 0 AND length(_s) >= 12 AND _blanks < 0.55 * length(regexp_replace(_s, '[^\\p{IsHan}]+', ''))",
+        "v_han": "_n_han >= 5 AND _n_han >= 0.3D * _letters",
+        "v_no_syllables": "_maybe_foreign AND _n_words >= 3 AND _syllables < 0.62D AND _solid > 9 OR _n_han >= 5 AND _n_han >= 0.5D * _letters",
+        "v_foreign_words": f"_maybe_foreign AND regexp_like(_f, {_q(_word(NEVER_VIETNAMESE))}) AND regexp_count(_f, {_q(_word(FOREIGN_WORDS))}) >= 0.15D * _n_words",
+        "v_script": r"_n_han >= 5 AND _n_han >= 0.5D * _letters OR _maybe_foreign AND _letters > 0 AND length(regexp_replace(_a, '[^\\p{IsHiragana}\\p{IsKatakana}\\p{IsHangul}\\p{IsThai}\\p{IsCyrillic}\\p{IsArabic}]', '')) >= 0.2D * _letters",
+        "v_no_marks_foreign": "_maybe_foreign AND _n_words >= 3 AND _syllables < 0.8D AND _n_marks = 0",
+        "v_short": r"_open_end AND _n_han = 0 AND length(_s) >= 12 AND _blanks < 0.55D * length(regexp_replace(_s, '[^\\p{IsHan}]+', ''))",
         "v_open_quote": "_open_end AND length(replace(_a, '”', '')) - length(replace(_a, '“', '')) > 0",
     }
     return sized.select(*key, *[F.expr(f"CAST(coalesce({e}, false) AS INT)").alias(v) for v, e in yes.items()])
 
 
 def all_votes(values: DataFrame, keys: list[str], counts: DataFrame | None) -> DataFrame:
-    """One row per row of ``values`` (``keys``, ``src``, ``value``, ``regular``) with every vote; those by the final trigram go
-    by ``counts`` (None: they vote nowhere)."""
-    out = votes(values, keys, "src", "regular")
+    """One row per row of ``values`` (``keys``, ``src``, ``value`` and, if it is at hand, the regular form ``regular``) with every
+    vote; those by the final trigram go by ``counts`` (None: they vote nowhere)."""
+    out = votes(values if "regular" in values.columns else regularize(values), keys, "src", "regular")
     if counts is None:
         return out.withColumns({v: F.lit(0) for v in ("v_cut_trigram", "v_seldom_ends", "v_broken_word")})
     ends = truncation.final_shares(values.select(F.struct(*keys).alias("_id"), "value"), "_id", "value", counts)
@@ -236,7 +236,7 @@ def planted(clean: DataFrame, key: str, source: str, answer: str) -> DataFrame:
 def label_values(values: DataFrame, keys: list[str], clean: DataFrame | None, counts: DataFrame | None) -> DataFrame:
     """(``keys``, ``labels``, ``posteriors``): every label of an answer whose posterior exceeds its validated cutoff.
 
-    ``values`` holds the keys, ``src``, ``value`` and its regular form ``regular``. ``clean`` (columns ``item_id``, ``src``,
+    ``values`` holds the keys, ``src``, ``value`` and, if it is at hand, its regular form ``regular``. ``clean`` (columns ``item_id``, ``src``,
     ``value`` of sound pairs) validates the cutoffs; without it they are 0.5. ``counts`` are the trigram counts of the corpus
     (see truncation); without them no answer is ``truncated``. Answers without any label come out with an empty array.
     """
@@ -245,7 +245,7 @@ def label_values(values: DataFrame, keys: list[str], clean: DataFrame | None, co
     cutoffs, judged = dict.fromkeys(DEFECTS, 0.5), {}
     if clean is not None:
         cases = planted(clean, "item_id", "src", "value")
-        checked = all_votes(regularize(cases.select("case", "src", "value")), ["case"], counts).join(cases.select("case", "truth"), "case")
+        checked = all_votes(cases.select("case", "src", "value"), ["case"], counts).join(cases.select("case", "truth"), "case")
         for d, (patterns, truth, n) in label_model.judged_patterns(checked, asked, "truth").items():
             some = np.isin(truth, (d, "none", "open"))  # a case made for another defect may have this one as well
             if (truth == d).any() and (truth == "none").any():

@@ -84,7 +84,7 @@ def p4_labels(spark: SparkSession, d: str) -> DataFrame:
     """All labels of the defective answers."""
     rows = table(spark, d, "benchmark_row", "row_id", "source_zh", "prediction_vi", "reference_vi")
     values = rows.selectExpr("row_id", "source_zh AS src", "stack(2, 'prediction_vi', prediction_vi, 'reference_vi', reference_vi) AS (field, value)")
-    found = pairs.label_values(confusables.regularize(values), ["row_id", "field"], _clean(spark, d), _counts(rows)).where("size(labels) > 0")
+    found = pairs.label_values(values, ["row_id", "field"], _clean(spark, d), _counts(rows)).where("size(labels) > 0")
     return _not_garbled(spark, d, found).select("row_id", "field", "labels")
 
 
@@ -113,7 +113,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Cut predictions; those with a defect that comes first (nothing to read, refusal, copy, other language) are no cuts."""
     rows = table(spark, d, "benchmark_row", "row_id", "source_zh", "prediction_vi", "reference_vi")
     counts = _counts(rows)
-    values = confusables.regularize(rows.selectExpr("row_id", "source_zh AS src", "prediction_vi AS value"))
+    values = rows.selectExpr("row_id", "source_zh AS src", "prediction_vi AS value")
     return pairs.label_values(values, ["row_id"], _clean(spark, d), counts).where("get(labels, 0) = 'truncated'").select("row_id")
 
 
