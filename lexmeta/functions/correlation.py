@@ -1,14 +1,16 @@
 """Pearson, Spearman and Kendall per group, at any group size.
 
-Ranks are global per group, yet no group is sorted in one task: distinct values are range-partitioned, counted per
-partition, and each partition's ranks start at the count of all partitions before it. What is carried between
-partitions is one row per partition and group.
+Ranks are global per group, yet no group is sorted in one task: the counts of distinct pairs are range-partitioned by
+either side, and each partition's ranks start at the count of all partitions before it. What is carried between
+partitions is one row per partition and group, for Kendall one per pair of partitions.
 
 A pair with a null side is left out. A constant side, or fewer than two rows, gives NaN, as does a NaN value.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,84 +24,97 @@ def pearson(x: str, y: str) -> Column:
     return F.when(constant, F.lit(float("nan"))).otherwise(F.coalesce(r, F.lit(float("nan"))))
 
 
-def _sorted_parts(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Rows range-partitioned by keys and order, with the partition number; materialised, for the bounds are sampled."""
+def _range_parts(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """Rows range-partitioned by keys and value, with the partition number; written out, for the bounds are sampled. Equal
+    (keys, value) are never split."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
-
-
-def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """``df`` with the average rank (ties share it) of ``value`` inside each group of ``keys``."""
-    counts = _sorted_parts(df.groupBy(*keys, value).agg(F.count("*").alias("_n")), keys, [value])
-    parts = counts.groupBy(*keys, "_part").agg(F.sum("_n").alias("_total"))
-    ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(*keys, "_part", F.coalesce(F.sum("_total").over(ahead), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("_lower", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(offsets, [*keys, "_part"])
-    ranks = ranked.select(*keys, value, (F.col("_before") + F.col("_lower") + (F.col("_n") + 1) / 2).alias(out))
-    return df.join(ranks, [*keys, value])
+    return cut_lineage(df.repartitionByRange(n, *keys, value).withColumn(out, F.spark_partition_id()))
+
+
+def _average_ranks(cells: DataFrame, keys: list[str], value: str, part: str, out: str) -> DataFrame:
+    """(keys, value, ``out``): the average rank (ties share it) of each distinct value inside its group, from counts."""
+    counts = cells.groupBy(*keys, part, value).agg(F.sum("_n").alias("_c"))
+    parts = counts.groupBy(*keys, part).agg(F.sum("_c").alias("_total"))
+    ahead = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*keys, part, F.coalesce(F.sum("_total").over(ahead), F.lit(0.0)).alias("_before"))
+    inside = Window.partitionBy(*keys, part).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("_lower", F.coalesce(F.sum("_c").over(inside), F.lit(0.0))).join(offsets, [*keys, part])
+    return ranked.select(*keys, value, (F.col("_before") + F.col("_lower") + (F.col("_c") + 1) / 2).alias(out))
+
+
+def signed_pairs(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """Concordant less discordant pairs of weighted points, by halving at x and searching the sorted y of the lower half."""
+    order = np.argsort(x, kind="stable")
+    x, y, n = x[order], y[order], n[order]
+    total, todo = 0.0, [(0, len(x))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < 2 or x[lo] == x[hi - 1]:
+            continue
+        if hi - lo <= 64:
+            xs, ys, ns = x[lo:hi], y[lo:hi], n[lo:hi]
+            total += float(ns @ (np.sign(xs[:, None] - xs) * np.sign(ys[:, None] - ys)) @ ns) / 2
+            continue
+        mid = lo + int(np.searchsorted(x[lo:hi], x[(lo + hi) // 2]))
+        if mid == lo:
+            mid = lo + int(np.searchsorted(x[lo:hi], x[lo], side="right"))
+        low = lo + np.argsort(y[lo:mid], kind="stable")
+        ahead = np.concatenate([[0.0], np.cumsum(n[low])])
+        less, upto = (ahead[np.searchsorted(y[low], y[mid:hi], side=side)] for side in ("left", "right"))
+        total += float((n[mid:hi] * (less - (ahead[-1] - upto))).sum())
+        todo += [(lo, mid), (mid, hi)]
+    return total
+
+
+def _kendall(cells: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Kendall's tau-b per group from the counts of distinct (x, y), which lie in range partitions of x and of y.
+
+    Pairs in one partition of x are counted there; pairs in one partition of y but not of x there, by the number of the x
+    partition; all others from the counts per pair of partitions. No cell meets more than the cells of its partitions.
+    """
+    types = dict(cells.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", _s DOUBLE"
 
+    def counted(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+        def run(part: pd.DataFrame) -> pd.DataFrame:
+            total = signed_pairs(part[a].to_numpy(dtype=float), part[b].to_numpy(dtype=float), part["_n"].to_numpy(dtype=float))
+            return pd.DataFrame({**{k: [part[k].iloc[0]] for k in keys}, "_s": [total]})
 
-def _kendall(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Kendall's tau-b per group from the contingency table of distinct (x, y).
+        return rows.groupBy(*keys, *by).applyInPandas(run, schema)
 
-    Concordant less discordant pairs come from cumulative counts: y is made a dense level (few levels, such as damage
-    0-5 or half-point scores), and for each x the counts of lower x per level are summed on the partition's way, on top
-    of the level counts of all partitions before.
-    """
-    cells = df.groupBy(*keys, x, y).agg(F.count("*").cast("double").alias("_n"))
-    parts = _sorted_parts(cells, keys, [x])
-    # Level counts of earlier partitions and of lower x inside the partition, both as sums over (x', y') with x' < x.
-    # Range bounds never split equal (keys, x), so a partition holds all cells of its x.
-    levels = parts.groupBy(*keys, "_part", y).agg(F.sum("_n").alias("_m")).withColumnRenamed("_part", "_q").withColumnRenamed(y, "_yq")
-    cells_p = parts.groupBy(*keys, "_part", y).agg(F.sum("_n").alias("_n"))
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    between = (
-        cells_p.alias("a").join(levels.alias("b"), [*on, F.col("b._q") < F.col("a._part")])
-        .select(*[F.col(f"a.{k}").alias(k) for k in keys], (F.col("a._n") * F.col("b._m") * F.signum(F.col(f"a.{y}") - F.col("b._yq"))).alias("_s"))
-        .groupBy(*keys).agg(F.sum("_s").alias("_s"))
-    )
-    import numpy as np
-    import pandas as pd
-
-    def inside(part: pd.DataFrame) -> pd.DataFrame:
-        """Signed pairs with different x inside one partition and group (a partition's share of the rows)."""
-        part = part.sort_values(x, kind="stable")
-        ys, level = np.unique(part[y].to_numpy(), return_inverse=True)
-        n, first = part["_n"].to_numpy(), part[x].to_numpy()
-        seen, total, i = np.zeros(len(ys)), 0.0, 0
-        while i < len(part):
-            j = i
-            while j < len(part) and first[j] == first[i]:
-                j += 1
-            for k in range(i, j):
-                total += n[k] * (seen[: level[k]].sum() - seen[level[k] + 1 :].sum())
-            np.add.at(seen, level[i:j], n[i:j])
-            i = j
-        return pd.DataFrame({**{k: [part[k].iloc[0]] for k in keys}, "_s": [total]})
-
-    types = dict(df.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", _s DOUBLE"
-    within = parts.groupBy(*keys, "_part").applyInPandas(inside, schema)
-    signed = within.unionByName(between).groupBy(*keys).agg(F.sum("_s").alias("_s"))
+    blocks = cells.groupBy(*keys, "_px", "_py").agg(F.sum("_n").alias("_n"))
+    signed = counted(cells, ["_px"], x, y).unionByName(counted(cells, ["_py"], "_px", y)).unionByName(counted(blocks, [], "_px", "_py"))
 
     def ties(*by: str) -> DataFrame:
         c = cells.groupBy(*keys, *by).agg(F.sum("_n").alias("_c"))
         return c.groupBy(*keys).agg((F.sum(F.col("_c") * (F.col("_c") - 1)) / 2).alias("_t" + "".join(by)))
 
-    joined = signed.join(ties(), keys).join(ties(x), keys).join(ties(y), keys)
+    joined = signed.groupBy(*keys).agg(F.sum("_s").alias("_s")).join(ties(), keys).join(ties(x), keys).join(ties(y), keys)
     scale = F.sqrt((F.col("_t") - F.col(f"_t{x}")) * (F.col("_t") - F.col(f"_t{y}")))
     return joined.select(*keys, F.when(scale > 0, F.col("_s") / scale).otherwise(F.lit(float("nan"))).alias("kendall"))
 
 
 def correlations(df: DataFrame, keys: list[str], x: str, y: str, kendall: bool = True) -> DataFrame:
-    """(keys..., n, pearson, spearman[, kendall]) of x and y per group."""
+    """(keys..., n, pearson, spearman[, kendall]) of x and y per group.
+
+    All three come from the counts of distinct (x, y), written out once: the rows are never joined with their ranks, and
+    nothing depends on ``df`` giving the same last bits twice.
+    """
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    pairs = pairs.persist()  # read by the plain sums, both rankings and the contingency table
-    plain = pairs.groupBy(*keys).agg(F.count("*").alias("n"), pearson("_x", "_y").alias("pearson"))
-    ranked = average_ranks(average_ranks(pairs, keys, "_x", "_rx"), keys, "_y", "_ry")
-    out = plain.join(ranked.groupBy(*keys).agg(pearson("_rx", "_ry").alias("spearman")), keys)
-    return out.join(_kendall(pairs, keys, "_x", "_y"), keys, "left") if kendall else out
+    cells = pairs.groupBy(*keys, "_x", "_y").agg(F.count("*").cast("double").alias("_n"))
+    cells = _range_parts(_range_parts(cells, keys, "_x", "_px"), keys, "_y", "_py")
+    ranked = cells.join(_average_ranks(cells, keys, "_x", "_px", "_rx"), [*keys, "_x"]).join(_average_ranks(cells, keys, "_y", "_py", "_ry"), [*keys, "_y"])
+    mean = lambda c: (F.sum(F.col("_n") * F.col(c)) / F.sum("_n")).alias(f"_m{c}")
+    means = ranked.groupBy(*keys).agg(F.sum("_n").cast("long").alias("n"), *[mean(c) for c in ("_x", "_y", "_rx", "_ry")])
+
+    def weighted(a: str, b: str) -> Column:
+        da, db = F.col(a) - F.col(f"_m{a}"), F.col(b) - F.col(f"_m{b}")
+        r = F.sum(F.col("_n") * da * db) / F.sqrt(F.sum(F.col("_n") * da * da)) / F.sqrt(F.sum(F.col("_n") * db * db))
+        constant = (F.min(a) == F.max(a)) | (F.min(b) == F.max(b))
+        return F.when(constant, F.lit(float("nan"))).otherwise(F.coalesce(r, F.lit(float("nan"))))
+
+    out = ranked.join(means, keys).groupBy(*keys, "n").agg(weighted("_x", "_y").alias("pearson"), weighted("_rx", "_ry").alias("spearman"))
+    return out.join(_kendall(cells, keys, "_x", "_y"), keys, "left") if kendall else out
 
 
 def one_sided_p(r: float, n: int) -> float:
@@ -154,8 +169,6 @@ def kendall_p(x: list[float], y: list[float]) -> float:
 
 def small_correlation(kind: str, x: list[float], y: list[float]) -> tuple[float, float]:
     """(coefficient, one-sided p) of a few pairs, such as one for each metric; NaN as in ``correlations``."""
-    import numpy as np
-
     nan = float("nan")
     if len(x) < 2 or len(set(x)) < 2 or len(set(y)) < 2:
         return nan, nan

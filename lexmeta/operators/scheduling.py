@@ -1,4 +1,4 @@
-"""Planning of generation work from what is on record: what is next, what is left, whether the input is the same."""
+"""Running sums over whole tables, and fingerprints of a branch's input."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from lexmeta.session import cut_lineage
 
-MAX_ATTEMPTS = 2
-
 
 def running_sum(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
     """The running sum of ``value`` by a unique ``order`` over the whole table: sums inside range partitions, shifted by
@@ -22,33 +20,11 @@ def running_sum(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
     return parts.withColumn("_in", F.sum(value).over(inside)).join(offsets, "_part").withColumn(out, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
 
 
-def next_action(runs: DataFrame, key: str, order: str, status: str, error: str) -> DataFrame:
-    """(key, attempts, action): done once any attempt is ok; rate limits cool down; else retried up to MAX_ATTEMPTS."""
-    g = runs.groupBy(key).agg(
-        F.count("*").alias("attempts"), F.bool_or(F.coalesce(status, F.lit("ok")) == "ok").alias("ok"), F.max_by(error, order).alias("last_error")
-    )
-    action = (
-        F.when(F.col("ok"), "done").when(F.coalesce("last_error", F.lit("")).contains("rate"), "cool_down")
-        .when(F.col("attempts") < MAX_ATTEMPTS, "retry").otherwise("given_up")
-    )
-    return g.select(key, "attempts", action.alias("action"))
-
-
 def contract(df: DataFrame, branch: str, columns: list[str]) -> DataFrame:
-    """(branch, contract): a digest of the distinct rows' digests, in their order. Digests of distinct inputs are
-    gathered per branch in two steps of fixed buckets, so that no task gets all rows."""
+    """(branch, contract): a digest of the distinct rows' digests, in their order. The rows' digests are gathered in 65,536
+    buckets per branch and digested there; a branch's digest is made of its buckets' digests, so no task holds all rows."""
     h = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in columns]))
     rows = df.select(branch, h.alias("h")).distinct()
-    buckets = rows.groupBy(branch, F.substring("h", 1, 2).alias("b")).agg(F.array_join(F.array_sort(F.collect_list("h")), "").alias("t"))
+    buckets = rows.groupBy(branch, F.substring("h", 1, 4).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("t"))
     joined = buckets.groupBy(branch).agg(F.array_sort(F.collect_list(F.struct("b", "t"))).alias("l"))
     return joined.select(branch, F.sha2(F.array_join(F.transform("l", lambda s: s["t"]), ""), 256).alias("contract"))
-
-
-def request_plan(ids: DataFrame, done: DataFrame, lanes: int, interval: float, daily_cap: int, levels: int = 6) -> DataFrame:
-    """One row: requests left, least minutes, requests per project, and whether these stay within the daily cap."""
-    counts = ids.agg((F.count("*") * levels).alias("n")).unionByName(done.agg((-F.count("*")).alias("n")))
-    left = counts.agg(F.sum("n").alias("requests_left"))
-    per = F.ceil(F.col("requests_left") / lanes)
-    return left.select(
-        "requests_left", F.round(F.col("requests_left") / (lanes * 60 / interval), 4).alias("min_minutes"), per.cast("long").alias("per_project"), (per <= daily_cap).alias("within_daily_cap")
-    )

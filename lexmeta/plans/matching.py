@@ -12,7 +12,8 @@ from lexmeta.sources.tables import table
 R = Registry()
 queries, ORACLES = R.queries, R.oracles
 
-_META = r"(?i)(^\s*(level|mức|muc)\s*(\d|hư hại)|bản dịch ở mức|here is|damage level|^\s*output:)"
+# Talk about the task at the start of an answer.
+_META = r"(?i)^\s*(?:(?:level|damage_level)\s*[:=]|(?:here is|bản viết lại|rewritten summary)(?:[^\p{L}\p{N}_]|$)|đây là bản (?:viết lại|tóm tắt)(?:[^\p{L}\p{N}_]|$))"
 
 
 @R.add("""WITH a AS (SELECT id, COUNT(*) AS n_left FROM benchmark_row WHERE id IS NOT NULL GROUP BY id), b AS (SELECT id, COUNT(*) AS n_right FROM damage_row WHERE id IS NOT NULL GROUP BY id)

@@ -10,6 +10,7 @@ from lexmeta.functions.correlation import correlations, pearson
 from lexmeta.operators import matching as M
 from lexmeta.plans import metric_sql as Q
 from lexmeta.plans.registry import Registry
+from lexmeta.session import cut_lineage
 from lexmeta.sources.tables import table
 
 R = Registry()
@@ -127,7 +128,8 @@ def d7_meta_correlation(spark, d, metrics=KEYS):
     """Correlation of the human and the synthetic ranking of metrics: Pearson of Pearsons, Spearman of Spearmans, Kendall of Kendalls."""
     h, s = _hum(spark, d, "metric", metrics=metrics), _syn(spark, d, metrics)
     both = h.select("metric", *[F.round(c, 9).alias(f"h_{c}") for c in ("pearson", "spearman", "kendall")]).join(s.select("metric", *[F.round(c, 9).alias(f"s_{c}") for c in ("pearson", "spearman", "kendall")]), "metric")
-    finite = both.where(" AND ".join(f"NOT isnan({c})" for c in both.columns[1:])).withColumn("one", F.lit(1)).persist()
+    finite = both.where(" AND ".join(f"NOT isnan({c})" for c in both.columns[1:])).withColumn("one", F.lit(1))
+    finite = cut_lineage(finite)  # one row for each metric
     parts = [correlations(finite, ["one"], f"h_{c}", f"s_{c}").select("one", "n", F.round(c, 4).alias(f"meta_{c}")) for c in ("pearson", "spearman", "kendall")]
     return parts[0].join(parts[1].drop("n"), "one").join(parts[2].drop("n"), "one").select(F.col("n").alias("common_metrics"), "meta_pearson", "meta_spearman", "meta_kendall")
 

@@ -130,10 +130,10 @@ def f8_reward_cv(spark, d):
     )
 
 
-@R.add(r"SELECT doc_id, trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')) AS squeezed FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\x1c-\x1f\x{85}]')")
+@R.add(r"SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '[\s\p{Z}\x0b\x1c-\x1f\x{85}]+', ' ', 'g')) AS squeezed FROM documents")
 def g1_squeeze(spark, d):
-    """Runs of blanks of any kind as one, none at the ends."""
-    return table(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL").where(~F.col("text").rlike(r"[\x1c-\x1f\x85]")).select("doc_id", T.squeeze("text").alias("squeezed"))
+    """All texts composed (NFC), runs of blanks of any kind as one, none at the ends."""
+    return T.add_mapped(table(spark, d, "documents", "doc_id", "text"), "text", "squeezed", T.normal).select("doc_id", "squeezed")
 
 
 @R.add()
@@ -142,11 +142,10 @@ def g1_squeeze_all(spark, d):
     return T.add_mapped(table(spark, d, "documents", "doc_id", "text"), "text", "squeezed", T.normal).select("doc_id", "squeezed")
 
 
-@R.add("SELECT row_id, strip_accents(nfc_normalize(prediction_vi)) AS plain FROM benchmark_row WHERE regexp_full_match(prediction_vi, '[\\x00-\\x7f\\x{c0}-\\x{24f}\\x{1e00}-\\x{1eff}\\x{300}-\\x{36f}“”…]*')")
+@R.add("SELECT row_id, strip_accents(nfc_normalize(prediction_vi)) AS plain FROM benchmark_row")
 def g3_strip_marks(spark, d):
-    """Texts without any marks (Latin texts; strip_tone is checked in the tests)."""
-    rows = table(spark, d, "benchmark_row", "row_id", "prediction_vi").where(F.col("prediction_vi").rlike(r"^[\x00-\x7f\xc0-ɏḀ-ỿ̀-ͯ“”…]*$"))
-    return rows.select("row_id", T.strip_marks("prediction_vi").alias("plain"))
+    """All texts, of any script, without any marks."""
+    return T.add_mapped(table(spark, d, "benchmark_row", "row_id", "prediction_vi"), "prediction_vi", "plain", T.plain).select("row_id", "plain")
 
 
 @R.add()
@@ -161,9 +160,8 @@ def g2_strip_tone(spark, d):
     return table(spark, d, "benchmark_row", "row_id", "reference_vi").select("row_id", T.strip_tone("reference_vi").alias("toneless"))
 
 
-_LATIN = r"^[\x00-\x7f\xc0-ɏḀ-ỿ̀-ͯ“”…]*$"
-_LATIN_SQL = r"[\x00-\x7f\x{{c0}}-\x{{24f}}\x{{1e00}}-\x{{1eff}}\x{{300}}-\x{{36f}}“”…]*".replace("{{", "{").replace("}}", "}")
-_W = r"CASE WHEN trim(regexp_replace(reference_vi, '[\s\p{Z}]+', ' ', 'g')) = '' THEN []::VARCHAR[] ELSE string_split(trim(regexp_replace(reference_vi, '[\s\p{Z}]+', ' ', 'g')), ' ') END"
+_N = r"trim(regexp_replace(nfc_normalize(reference_vi), '[\s\p{Z}\x0b\x1c-\x1f\x{85}]+', ' ', 'g'))"
+_W = f"CASE WHEN {_N} = '' THEN []::VARCHAR[] ELSE string_split({_N}, ' ') END"
 _PLACES = "list_sort(list_transform(range(0, len(w)), lambda i: {{'h': md5(concat_ws('|', row_id::VARCHAR, '{n}', i::VARCHAR)), 'i': i}}))"
 _KEEP = "greatest(1, round_even(len(w) * {f}::DOUBLE, 0)::INT)"
 
@@ -173,31 +171,32 @@ def _dropped(n: int, f: float) -> str:
     return f"CASE WHEN len(w) < 3 THEN w ELSE list_transform({chosen}, lambda i: w[i + 1]) END"
 
 
-@R.add(rf"""WITH b AS (SELECT row_id, reference_vi, {_W} AS w FROM benchmark_row WHERE regexp_full_match(reference_vi, '{_LATIN_SQL}')), p AS (SELECT *, list_transform(w, lambda x: strip_accents(x)) AS plain, {_dropped(3, 0.85)} AS k3, {_dropped(4, 0.7)} AS k4, {_dropped(5, 0.5)} AS k5 FROM b),
+@R.add(rf"""WITH b AS (SELECT row_id, reference_vi, {_W} AS w FROM benchmark_row), p AS (SELECT *, list_transform(w, lambda x: strip_accents(x)) AS plain, {_dropped(3, 0.85)} AS k3, {_dropped(4, 0.7)} AS k4, {_dropped(5, 0.5)} AS k5 FROM b),
  f AS (SELECT *, coalesce(list_position(list_transform(range(1, len(w) + 1), lambda i: w[i] <> plain[i]), true), 0) AS first FROM p)
-SELECT row_id, l AS damage_level, CASE l WHEN 0 THEN reference_vi WHEN 1 THEN array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i = first THEN plain[i] ELSE w[i] END), ' ')
+SELECT row_id, l AS damage_level, CASE l WHEN 0 THEN array_to_string(w, ' ') WHEN 1 THEN array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i = first THEN plain[i] ELSE w[i] END), ' ')
   WHEN 2 THEN array_to_string(CASE WHEN len(w) > 4 THEN plain[:len(w) // 2] || plain[len(w) // 2 + 2:] ELSE plain END, ' ') WHEN 3 THEN array_to_string(k3, ' ')
-  WHEN 4 THEN array_to_string(CASE WHEN len(k4) > 3 THEN [k4[2], k4[1]] || k4[3:] ELSE k4 END, ' ') ELSE trim(regexp_replace(array_to_string(k5, ' '), '[,.!?;:]+', '', 'g')) END AS damaged_vi
+  WHEN 4 THEN array_to_string(CASE WHEN len(k4) > 3 THEN [k4[1], k4[3], k4[2]] || k4[4:] ELSE k4 END, ' ') ELSE trim(regexp_replace(array_to_string(k5, ' '), '[,.!?;:]+', '', 'g')) END AS damaged_vi
 FROM f, range(6) r(l)""")
 def g7_rule_damage(spark, d):
-    """Six damage levels of the references by rule (Latin texts)."""
-    grid = matching.damage_grid(table(spark, d, "benchmark_row", "row_id", "reference_vi").where(F.col("reference_vi").rlike(_LATIN)))
-    return damage.damaged(grid, "row_id", "reference_vi").select("row_id", F.col("damage_level").cast("long").alias("damage_level"), "damaged_vi")
+    """Six damage levels of all references by rule, of any script."""
+    return _damaged(spark, d).select("row_id", F.col("damage_level").cast("long").alias("damage_level"), "damaged_vi")
+
+
+def _damaged(spark, d):
+    rows = T.add_mapped(table(spark, d, "benchmark_row", "row_id", "reference_vi"), "reference_vi", "normal_vi", T.normal).withColumn("words", damage.words(F.col("normal_vi")))
+    return damage.damaged(matching.damage_grid(T.add_mapped(rows, "words", "plain_words", T.plain)), "row_id", "normal_vi", plain_words="plain_words")
 
 
 @R.add()
 def g7_rule_damage_all(spark, d):
     """Six damage levels of all references by rule, of any script."""
-    rows = table(spark, d, "benchmark_row", "row_id", "reference_vi").withColumn("words", damage.words(F.col("reference_vi")))
-    grid = matching.damage_grid(T.add_mapped(rows, "words", "plain_words", T.plain))
-    return damage.damaged(grid, "row_id", "reference_vi", plain_words="plain_words").select("row_id", F.col("damage_level").cast("long").alias("damage_level"), "damaged_vi")
+    return g7_rule_damage(spark, d)
 
 
 @R.add()
 def g8_rule_baseline(spark, d):
     """The rule-based branch over the whole benchmark: mean ROUGE-1 of each level."""
-    rows = matching.damage_grid(table(spark, d, "benchmark_row", "row_id", "reference_vi").where("reference_vi IS NOT NULL"))
-    made = damage.damaged(rows, "row_id", "reference_vi").select("row_id", "damage_level", "reference_vi", F.col("damaged_vi").alias("prediction_vi"))
+    made = _damaged(spark, d).where("reference_vi IS NOT NULL").select("row_id", "damage_level", "reference_vi", F.col("damaged_vi").alias("prediction_vi"))
     return X.add_metrics(made, keys=("rouge_1",)).groupBy("damage_level").agg(F.count("*").alias("n"), F.round(F.avg("rouge_1"), 6).alias("mean"))
 
 
@@ -302,13 +301,6 @@ def i3_first_component(spark, d):
     return rows.withColumn("pc", pc).groupBy("channel").agg(F.count("*").alias("n"), F.round(F.min("pc"), 4).alias("lo"), F.round(F.avg("pc"), 4).alias("mean"), F.round(F.max("pc"), 4).alias("hi"))
 
 
-@R.add()
-def l5_requeue(spark, d):
-    """Each run key's attempts folded to what happens next: done, retry, or given up after two."""
-    runs = table(spark, d, "damage_row", "run_key", "damage_id", "status", "error").where("run_key IS NOT NULL")
-    return scheduling.next_action(runs, "run_key", "damage_id", "status", "error")
-
-
 @R.add("""WITH o AS (SELECT DISTINCT id, prompt_type, damage_level FROM damage_row WHERE coalesce(status, 'ok') = 'ok' AND damage_level IS NOT NULL)
 SELECT prompt_type, COUNT(*) AS n_ids, COUNT(*) FILTER (k = 6) AS complete, SUM(6 - k)::BIGINT AS missing FROM (SELECT id, prompt_type, COUNT(*) AS k FROM o GROUP BY ALL) GROUP BY prompt_type""")
 def l7_finalise(spark, d):
@@ -318,16 +310,9 @@ def l7_finalise(spark, d):
     return k.groupBy("prompt_type").agg(F.count("*").alias("n_ids"), F.count_if(F.col("k") == 6).alias("complete"), F.sum(6 - F.col("k")).alias("missing"))
 
 
-@R.add("""SELECT prompt_type, sha256(string_agg(h, '' ORDER BY h)) AS contract FROM (SELECT prompt_type, md5(concat_ws('|', id, coalesce(source_zh, ''), coalesce(reference_vi, ''))) AS h FROM damage_row GROUP BY ALL) GROUP BY prompt_type""")
+@R.add("""WITH h AS (SELECT DISTINCT prompt_type, md5(concat_ws('|', coalesce(id, ''), coalesce(source_zh, ''), coalesce(reference_vi, ''))) AS h FROM damage_row),
+b AS (SELECT prompt_type, h[:4] AS b, sha256(string_agg(h, '' ORDER BY h)) AS t FROM h GROUP BY ALL)
+SELECT prompt_type, sha256(string_agg(t, '' ORDER BY b)) AS contract FROM b GROUP BY prompt_type""")
 def l8_contract(spark, d):
     """A fingerprint of each branch's input."""
     return scheduling.contract(table(spark, d, "damage_row", "prompt_type", "id", "source_zh", "reference_vi"), "prompt_type", ["id", "source_zh", "reference_vi"])
-
-
-@R.add("""WITH g AS (SELECT COUNT(DISTINCT id) * 6 AS cells FROM benchmark_row), o AS (SELECT COUNT(DISTINCT (id, damage_level)) AS done FROM damage_row WHERE coalesce(status, 'ok') = 'ok' AND damage_level IS NOT NULL AND id IN (SELECT id FROM benchmark_row))
-SELECT cells - done AS requests_left, ROUND((cells - done) / (4 * 60 / 5.0), 4) AS min_minutes, ceil((cells - done) / 4.0)::BIGINT AS per_project, ceil((cells - done) / 4.0) <= 500 AS within_daily_cap FROM g, o""")
-def l10_request_plan(spark, d):
-    """Requests left, least minutes on four lanes of one request each five seconds, and the daily cap per project."""
-    ids = table(spark, d, "benchmark_row", "id").distinct()
-    done = table(spark, d, "damage_row", "id", "damage_level", "status").where("coalesce(status, 'ok') = 'ok' AND damage_level IS NOT NULL").join(ids, "id", "left_semi").select("id", "damage_level").distinct()
-    return scheduling.request_plan(ids, done, lanes=4, interval=5.0, daily_cap=500)

@@ -28,11 +28,13 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "lexmeta") -> S
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """``checkpoint()`` into the shared folder of ``spark.checkpoint.dir``.
 
-    Only where the session names no folder (tests, a laptop) is a private one set.
+    Only a local session (tests, a laptop) that names no folder gets a private one; a cluster must name a shared one.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager)

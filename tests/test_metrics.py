@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexmeta.functions import metrics as X
-from lexmeta.functions.correlation import average_ranks, correlations, one_sided_p
+from lexmeta.functions.correlation import correlations, one_sided_p, signed_pairs
 from lexmeta.operators import models
 
 WORDS = st.lists(st.sampled_from("một hai ba bốn năm sáu".split()), max_size=9)
@@ -62,8 +62,25 @@ def test_correlations_against_pairs(spark):
     assert all(math.isnan(v) for g in "cd" for v in (got[g].pearson, got[g].spearman, got[g].kendall))
 
 
-def test_ranks_of_an_empty_table(spark):
-    assert average_ranks(spark.createDataFrame([], "g STRING, v DOUBLE"), ["g"], "v", "r").count() == 0
+def test_correlations_of_an_empty_table(spark):
+    assert correlations(spark.createDataFrame([], "g STRING, x DOUBLE, y DOUBLE"), ["g"], "x", "y").count() == 0
+
+
+def test_correlations_over_many_partitions(spark):
+    rng = random.Random(5)
+    rows = [("hot", round(rng.gauss(0, 1), 2), rng.random()) for _ in range(1500)] + [("small", float(i), float(-i)) for i in range(5)]
+    got = {r.g: r for r in correlations(spark.createDataFrame(rows, "g STRING, x DOUBLE, y DOUBLE"), ["g"], "x", "y").collect()}
+    want = brute(*zip(*[(x, y) for k, x, y in rows if k == "hot"]))
+    assert np.allclose([got["hot"].pearson, got["hot"].spearman, got["hot"].kendall], want)
+    assert np.allclose([got["small"].pearson, got["small"].spearman, got["small"].kendall], -1)
+
+
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40), st.integers(1, 3)), max_size=300))
+@settings(deadline=None, max_examples=60)
+def test_signed_pairs(cells):
+    x, y, n = (np.array([c[k] for c in cells], dtype=float) for k in range(3))
+    want = float(n @ (np.sign(x[:, None] - x) * np.sign(y[:, None] - y)) @ n) / 2 if len(cells) else 0.0
+    assert signed_pairs(x, y, n) == want
 
 
 def test_p_value():
