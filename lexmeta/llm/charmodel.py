@@ -35,8 +35,14 @@ def count_pairs(corpus: DataFrame, text: str = "text", by_script: bool = False)
     empty texts count nothing.
     """
 
+    def merged(some: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        if not some:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        keys, at = np.unique(np.concatenate([k for k, _ in some]), return_inverse=True)
+        return keys, np.bincount(at, weights=np.concatenate([n for _, n in some]), minlength=len(keys)).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: list[dict[int, int]] = [{}, {}, {}, {}]
+        sums: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], [], []]
         for batch in batches:
             column = batch.column(0)
             for lo in range(0, len(column), 2000):
@@ -49,11 +55,10 @@ def count_pairs(corpus: DataFrame, text: str = "text", by_script: bool = False)
                 both = inside[:-1] & inside[1:]
                 for s in (0, 1):
                     mine = script == bool(s)
-                    for into, keys in ((sums[2 * s], points[inside & mine].astype(np.int64)), (sums[2 * s + 1], pairs[both & mine[1:]])):
-                        for k, n in zip(*(x.tolist() for x in np.unique(keys, return_counts=True))):
-                            into[k] = into.get(k, 0) + n
-        for i, counts in enumerate(sums):
-            keys, values = list(counts), list(counts.values())
+                    sums[2 * s].append(np.unique(points[inside & mine].astype(np.int64), return_counts=True))
+                    sums[2 * s + 1].append(np.unique(pairs[both & mine[1:]], return_counts=True))
+                sums = [[merged(some)] if len(some) >= 16 else some for some in sums]
+        for i, (keys, values) in enumerate(map(merged, sums)):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i // 2] * len(keys), pa.int32()), pa.array([i % 2] * len(keys), pa.int32()), pa.array(keys, pa.int64()), pa.array(values, pa.int64())],
                 ["script", "kind", "key", "n"],

@@ -48,6 +48,7 @@ def _reader_table(name: str) -> dict[str, int]:
 
 
 TABLES = {name: _reader_table(name) for name in ONE_BYTE}
+ENCODED: dict[str, dict[str, bytes]] = {name: {} for name in MULTI_BYTE}  # characters met so far (at most all there are) and their bytes
 
 
 def _pieces(run: str, reader: str) -> Iterator[tuple[int, int, bytes]]:
@@ -65,12 +66,14 @@ def _pieces(run: str, reader: str) -> Iterator[tuple[int, int, bytes]]:
         if out:
             yield start, len(run), bytes(out)
         return
-    start, out = 0, bytearray()
+    start, out, known = 0, bytearray(), ENCODED[reader]
     for i, ch in enumerate(run):
-        try:
-            b = ch.encode(reader)
-        except UnicodeEncodeError:
-            b = b""
+        if (b := known.get(ch)) is None:
+            try:
+                b = ch.encode(reader)
+            except UnicodeEncodeError:
+                b = b""
+            known[ch] = b
         if not b:
             if out:
                 yield start, i, bytes(out)
@@ -183,7 +186,9 @@ class Repairer:
         names: list[str] = []
         lossless = True
         current = text
-        for _ in range(3):
+        before: set[str] = set()
+        while current not in before:  # each round takes one reading back
+            before.add(current)
             runs = [r for r in improbable_runs(self.model.scores(code_points(current))) if r[2] >= 3.0]
             fixed = None
             if len(runs) > 1:  # a stretch read wrongly shows as several runs with plain text between
@@ -194,9 +199,11 @@ class Repairer:
                     names.append(name)
                     current = current[:lo] + whole + current[hi:]
                     continue
+            widest = len(current) + 1, 0  # several runs may widen to the same stretch, which is tried once
             for a, b, _ in reversed(runs):
-                lo, hi = _widen(current, a, b)
-                found = self._try(current[lo:hi]) if any(ch >= "\x80" for ch in current[lo:hi]) else None
+                lo, hi = widest if widest[0] <= a and b <= widest[1] else _widen(current, a, b)
+                new, widest = (lo, hi) != widest, (lo, hi)
+                found = self._try(current[lo:hi]) if new and any(ch >= "\x80" for ch in current[lo:hi]) else None
                 if found is None and (lo, hi) != (a, b):
                     found, lo, hi = self._try(current[a:b]), a, b
                 if found:
@@ -215,9 +222,9 @@ class Repairer:
 def _widen(text: str, a: int, b: int) -> tuple[int, int]:
     """The run, up to the blanks around it in spaced scripts or the regular Han text around it."""
     stop = lambda ch: ch.isspace() and ch != "\xa0"
-    while a > 0 and not stop(text[a - 1]) and b - a < 4000 and not ("一" <= text[a - 1] <= "鿿" and text[a] < "　"):
+    while a > 0 and not stop(text[a - 1]) and not ("一" <= text[a - 1] <= "鿿" and text[a] < "　"):
         a -= 1
-    while b < len(text) and not stop(text[b]) and b - a < 4000 and not ("一" <= text[b] <= "鿿" and text[b - 1] < "　"):
+    while b < len(text) and not stop(text[b]) and not ("一" <= text[b] <= "鿿" and text[b - 1] < "　"):
         b += 1
     return a, b
 

@@ -85,8 +85,9 @@ def _widest(parts: list[str]) -> list[str]:
 
 #: Looked for in texts without marks: built from the patterns, so that none of them asks for what the gate doesn't let by.
 REFUSAL_GATE = "|".join(_widest([*REFUSAL_PARTS.split("|"), *_heads(APOLOGY), *_heads(UNABLE), "as an ai", "mo hinh ngon ngu", "language model", "模型"]))
-#: Letters of other scripts than Latin, by blocks (some marks of these blocks are in it as well).
-OTHER_SCRIPT = r"[\\u0370-\\u1DFF\\u1F00-\\u1FFF\\u2C00-\\u2FFF\\u3005\\u3007\\u3021-\\uD7FF\\uF900-\\uFEFE\\uFF66-\\uFFDC\\x{10000}-\\x{1EFFF}\\x{20000}-\\x{3FFFF}]"
+#: Letters of other scripts than Latin, by blocks (some marks of these blocks are in it as well): all but the blocks named,
+#: the most frequent first, for those end the test.
+OTHER_SCRIPT = r"[^\\x00-\\u036F\\u1E00-\\u1EFF\\u2000-\\u2BFF\\u3000-\\u3004\\u3006\\u3008-\\u3020\\uD800-\\uF8FF\\uFEFF-\\uFF65\\uFFDD-\\uFFFF\\x{1F000}-\\x{1FFFF}\\x{40000}-\\x{10FFFF}]"
 
 VOTES = {
     "empty": ["v_nothing", "v_stand_in", "v_tiny"],
@@ -151,14 +152,14 @@ def votes(df: DataFrame, key: list[str], source: str, answer: str) -> DataFrame:
         "*",
         f"CASE WHEN _odd THEN length(_l) - length(translate(_l, '{MARKED}', '')) END AS _n_marks",
         r"CASE WHEN _odd THEN length(regexp_replace(_a, '[^\\p{IsHan}]+', '')) ELSE 0 END AS _n_han",
-        f"_blanks >= 2 AND (NOT regexp_like(_a, {_q(truncation.CLOSED)}) OR regexp_like(_a, {_q(truncation.ELLIPSIS)})) AS _open_end",
-        r"_len > 40 AND regexp_like(_a, '^[^\\p{L}\\p{N}]|[^\\p{L}\\p{N}][^\\p{L}\\p{N}]$|[\\p{Z}\\p{C}\\s]{2}') AS _padded",
+        f"_blanks >= 2 AND {truncation.open_ended('_a')} AS _open_end",
+        r"_len > 40 AND (regexp_like(left(_a, 1), '[^\\p{L}\\p{N}]') OR regexp_like(right(_a, 2), '[^\\p{L}\\p{N}]{2}') OR regexp_like(_a, '[\\p{Z}\\p{C}\\s]{2}')) AS _padded",
     ).selectExpr(
         "*",
         "_odd AND _n_marks < 0.3D * _blanks AS _maybe_foreign",
         # What is left without blanks and marks at the ends, of any length before; long answers that start and end with a letter or digit skip it.
         rf"CASE WHEN _len <= 40 OR _padded THEN lower(trim(regexp_replace(_a, '{_ENDS}', ''))) END AS _strip",
-        r"CASE WHEN _len <= 40 THEN length(regexp_replace(_a, '[\\p{Z}\\p{C}\\s]+', '')) ELSE _len END AS _solid",
+        r"CASE WHEN _len <= 40 OR _padded THEN length(regexp_replace(_a, '[\\p{Z}\\p{C}\\s]+', '')) ELSE _len END AS _solid",
         f"CASE WHEN _maybe_refusal OR _odd THEN {truncation.fold('_l')} END AS _f",
         # Only answers with Han letters get as far as comparing grams with the source.
         rf"CASE WHEN _n_han >= 5 THEN {_han('_s')} END AS _hs",

@@ -53,6 +53,12 @@ def words(text: str) -> str:
     return f"split(trim({out}), ' ')"
 
 
+def open_ended(text: str) -> str:
+    """SQL for whether a text ends in no sentence mark, or in an ellipsis."""
+    plain = lambda p: _sql(p).replace("{{", "{").replace("}}", "}")
+    return f"(NOT regexp_like({text}, {plain(CLOSED)}) OR (contains({text}, '..') OR contains({text}, '…')) AND regexp_like({text}, {plain(ELLIPSIS)}))"
+
+
 CAPITAL = _sql(r"(^| )\p{Lu}[^ ]*")
 
 # Shifted arrays side by side give every word with the two before it and the next one, without a function per word.
@@ -115,8 +121,8 @@ def final_shares(df: DataFrame, key: str, text: str, counts: DataFrame) -> DataF
     text; no text is broadcast, collected or sent to one task.
     """
     spark = df.sparkSession
-    open_ended = df.where(~F.col(text).rlike(CLOSED) | F.col(text).rlike(ELLIPSIS)).select(key, text)
-    finals = spark.sql(FINALS.format(words=words(text), key=key, open_ended="{open_ended}"), open_ended=open_ended)
+    still_open = df.where(open_ended(text)).select(key, text)
+    finals = spark.sql(FINALS.format(words=words(text), key=key, open_ended="{open_ended}"), open_ended=still_open)
     forms = spark.sql(FORMS.format(source=_sql(FROM), target=_sql(TO), capital=CAPITAL, grams="{grams}"), grams=finals)
     return spark.sql(VERDICT.format(key=key, any_word=ANY_WORD, backing=BACKING, broken=BROKEN, forms="{forms}", counts="{counts}"), forms=forms, counts=counts)
 
