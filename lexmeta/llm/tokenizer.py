@@ -24,13 +24,18 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 class PrefixEncoder:
     """The vocabulary, and the table of last tokens of byte prefixes."""
 
-    def __init__(self, path: str, pattern: str = PATTERN):
+    def __init__(self, vocabulary: str | bytes, pattern: str = PATTERN):
+        """``vocabulary``: the path of a vocabulary file, or what is in it."""
         import regex
 
-        with open(path, "rb") as lines:
-            self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        if isinstance(vocabulary, str):
+            with open(vocabulary, "rb") as file:
+                vocabulary = file.read()
+        self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.bytes = {n: b for b, n in self.rank.items()}
         self.longest = max(map(len, self.rank))
+        #: All beginnings of tokens: where none goes on, no longer token starts.
+        self.starts = {b[:k] for b in self.rank for k in range(1, len(b) + 1)}
         self.split = regex.compile(pattern).findall
         self.pieces = regex.compile(pattern).finditer
         self.apart: dict[tuple[int, int], bool] = {}
@@ -62,15 +67,22 @@ class PrefixEncoder:
         return ok
 
     def extend(self, raw: bytes, last: list[int]) -> list[int]:
-        """Continues the table: ``last[i]`` is the last token of the prefix of i + 1 bytes; those present stay."""
-        for end in range(len(last) + 1, len(raw) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = self.rank.get(raw[start:end])
-                if token is not None and (start == 0 or self.bytes.get(last[start - 1])) and self._stands(last[start - 1] if start else None, token):
-                    last.append(token)
+        """Continues the table: ``last[i]`` is the last token of the prefix of i + 1 bytes; those present stay.
+
+        Tokens are followed from every start as far as they go on; a prefix's last token is the longest that stands there.
+        """
+        rank, starts, stands, n, done = self.rank, self.starts, self._stands, len(raw), len(last)
+        last += [None] * (n - done)
+        for start in range(max(0, done - self.longest + 1), n):
+            left = last[start - 1] if start else None
+            for end in range(start + 1, n + 1):
+                part = raw[start:end]
+                if part not in starts:
                     break
-            else:
-                raise ValueError(f"no token ends at byte {end}")
+                if end > done and last[end - 1] is None and (token := rank.get(part)) is not None and stands(left, token):
+                    last[end - 1] = token
+            if last[start] is None:
+                raise ValueError(f"no token ends at byte {start + 1}")
         return last
 
     def read(self, last: list[int]) -> list[int]:
@@ -96,8 +108,9 @@ class PrefixEncoder:
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
+        known = self.known.get
         for piece in self.split(text or ""):
-            out += self.piece(piece)
+            out += known(piece) or self.piece(piece)
         return out
 
     def append(self, text: str, ids: list[int], more: str) -> list[int]:
@@ -123,12 +136,14 @@ class PrefixEncoder:
 
 
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """(``key``, ``ids``): one row per row of ``docs``. A map without shuffle; the vocabulary is read once per task."""
-    path = f"{folder}/{name}"
+    """(``key``, ``ids``): one row per row of ``docs``. A map without shuffle; the vocabulary (its size is fixed) is read on
+    the driver and broadcast, so executors need no file."""
+    with open(f"{folder}/{name}", "rb") as file:
+        shared = docs.sparkSession.sparkContext.broadcast(file.read())
     kind = dict(docs.select(key).dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PrefixEncoder(path)
+        encoder = PrefixEncoder(shared.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
