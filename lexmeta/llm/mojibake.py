@@ -109,10 +109,9 @@ def _dense(raw: bytes) -> bool:
     return False
 
 
-def _again(text: str) -> str:
-    """Undoes a second reading of UTF-8 as Western text, where all of it was read twice."""
+def _once_more(text: str) -> str | None:
     if LOST in text or not any("\xc2" <= ch <= "\xf4" for ch in text):
-        return text
+        return None
     for reader in ("cp1252", "latin-1"):
         pieces = list(_pieces(text, reader))
         if len(pieces) == 1 and pieces[0][:2] == (0, len(text)):
@@ -120,6 +119,13 @@ def _again(text: str) -> str:
                 return pieces[0][2].decode("utf-8")
             except UnicodeDecodeError:
                 pass
+    return None
+
+
+def _again(text: str) -> str:
+    """Undoes further readings of UTF-8 as Western text, where all of it was read so; each makes the text shorter."""
+    while (once := _once_more(text)) is not None:
+        text = once
     return text
 
 

@@ -151,7 +151,7 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).where("size(offending) > 0").select("doc_id")
+    return _scored(spark, d).where("toxic").select("doc_id")
 
 
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:

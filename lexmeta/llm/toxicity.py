@@ -14,6 +14,7 @@ fit takes at most ``MAX_LABELLED`` labelled rows, everything else runs over all
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
@@ -72,98 +73,192 @@ for _kind, _list in KINDS.items():
         for _form in {_term, _term.replace(" ", "")} if len(_term) > 5 else {_term}:  # also written in one
             _TERMS[_form] = (*_TERMS.get(_form, ()), _kind)
 _STARTS = {k.split(" ")[0] for k in _TERMS if " " in k} | {k[0] for k in _TERMS if not k[0].isascii()}
+_FIRST = _STARTS | _TERMS.keys()
 _LONGEST = 5  # words of a phrase, or Han letters
 
 _VIEW = {ord(ch): None for ch in INVISIBLE}
 _VIEW |= {ord(a): b for t in (CYRILLIC, GREEK, ARMENIAN, COMPAT) for a, b in zip(*t)}
-_VIEW |= {0x111: "d", 0x110: "d", 0x200D: None}
+_VIEW |= {0x200D: None}
+_DROP = {ord(c): None for c in INVISIBLE}
+
+
+def _class(points: list[int]) -> str:
+    """A character class of the code points, as ranges."""
+    out, at = [], 0
+    while at < len(points):
+        end = at
+        while end + 1 < len(points) and points[end + 1] == points[end] + 1:
+            end += 1
+        out.append(f"\\U{points[at]:08x}-\\U{points[end]:08x}")
+        at = end + 1
+    return "[" + "".join(out) + "]"
+
+
+# Most sentences have nothing of these; one search is cheaper than the work they stand for. Classes within the first plane
+# are tables, beyond it lists of ranges, so the two are apart.
+_VIEWED = re.compile(_class([c for c in sorted(_VIEW) if c < 0x10000]))
+_DROPPED = re.compile(_class(sorted(_DROP)))
+_MARKS, _FAR_MARKS = (re.compile(_class([c for c in range(*r) if unicodedata.combining(chr(c))]) + "+") for r in ((0x300, 0x10000), (0x10000, 0x1F000)))
+_FAR = re.compile("[\U00010000-\U0010ffff]")
 _LEET = str.maketrans("013457@$", "oieastas")
-_SENTENCE = re.compile(r"[^.!?。！？…\n]*(?:[.!?。！？…]+(?![^\s\W])|[.!?。！？…](?=\w)|\n|$)[”’\"')）]*")
+_LEET_SIGN = re.compile(r"[013457@$][^\W\d_]")
+_TRIPLE = re.compile(r"([^\W\d_])\1{2,}")
+_NO_LETTER = re.compile(r"\W")
+_WORDS = re.compile(r"[a-z]+").findall
+_HAN = re.compile(r"[一-鿿]")
+_NOT_HAN = re.compile(r"[^一-鿿a-z0-9]+")
+_INNER_DOT = re.compile(r"(?<=\w)\.(?=\w)")
+_PARTS = re.compile(r"[^.!?。！？…\n]+[.!?。！？…]*[”’\"')）]*").findall
 _CHAIN = re.compile(r"(?<!\w)(?:[^\W\d_][.\-*_·~|/ ]){2,}[^\W\d_](?!\w)")
 _HAN_DOTS = re.compile(r"(?<=[一-鿿])[.\-*_·~|/＊](?=[一-鿿])")
 _MASKED = re.compile(r"(?<!\*)\b[^\W\d_]\*+(?!\w{3})|[一-鿿]\*+")
 _LEETED = re.compile(r"\b(?=\w*[^\W\d_]\w*[013457@$]+[^\W\d_])[\w@$]+\b")
 _QUOTED = re.compile(r"[“\"‘«「『][^”\"’»」』]{1,60}[”\"’»」』]")
+_QUOTE = re.compile(r"[“\"‘«「『]")
 
 
 def view(text: str) -> str:
     """The text without marks, capitals and spelling tricks."""
-    text = unicodedata.normalize("NFKD", text.translate(_VIEW)).lower()
-    text = "".join(ch for ch in text.translate({0x111: "d"}) if not unicodedata.combining(ch))
-    text = re.sub(r"([^\W\d_])\1{2,}", r"\1", text)
-    text = _CHAIN.sub(lambda m: re.sub(r"[^\w]", "", m[0]), text)
-    text = _HAN_DOTS.sub("", text)
-    return _LEETED.sub(lambda m: m[0].translate(_LEET), text)
+    foreign = not text.isascii()
+    if foreign:
+        far = _FAR.search(text)
+        if far or _VIEWED.search(text):
+            text = text.translate(_VIEW)
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text.replace("đ", "d").replace("Đ", "d")).lower())
+        if far:
+            text = _FAR_MARKS.sub("", text)
+    else:
+        text = text.lower()
+    text = _TRIPLE.sub(r"\1", text)
+    text = _CHAIN.sub(lambda m: _NO_LETTER.sub("", m[0]), text)
+    if foreign:
+        text = _HAN_DOTS.sub("", text)
+    return _LEETED.sub(lambda m: m[0].translate(_LEET), text) if _LEET_SIGN.search(text) else text
 
 
 def sentences(text: str) -> list[str]:
     """Sentences by marks and line ends. A dot inside a chain of single letters ends none."""
-    held = _CHAIN.sub(lambda m: m[0].replace(".", "·"), text.translate({ord(c): None for c in INVISIBLE}))
-    held = re.sub(r"(?<=\w)\.(?=\w)", "·", held)
-    return [s.strip() for s in re.findall(r"[^.!?。！？…\n]+[.!?。！？…]*[”’\"')）]*", held) if s.strip()]
+    held = _CHAIN.sub(lambda m: m[0].replace(".", "·"), text.translate(_DROP) if _DROPPED.search(text) else text)
+    return [t for s in _PARTS(_INNER_DOT.sub("·", held)) if (t := s.strip())]
 
 
 def _h(name: str) -> int:
     return zlib.crc32(name.encode("utf-8")) % WIDTH
 
 
+class _Numbers:
+    """Feature numbers of words, pairs of words and Han grams met so far; emptied when full."""
+
+    def __init__(self, mark: str):
+        self.mark, self.words, self.pairs = mark, {}, {}
+
+    def of(self, words: list[str]) -> list[int]:
+        known, mark = self.words, self.mark
+        if len(known) > 400_000:
+            known.clear()
+        for w in words:
+            if w not in known:
+                known[w] = _h(mark + w)
+        return [known[w] for w in words]
+
+    def of_pairs(self, words: list[str]) -> list[int]:
+        known, mark = self.pairs, self.mark
+        if len(known) > 400_000:
+            known.clear()
+        pairs = list(zip(words, words[1:]))
+        for p in pairs:
+            if p not in known:
+                known[p] = _h(f"{mark}{p[0]} {p[1]}")
+        return [known[p] for p in pairs]
+
+
+_NUMBERS = {mark: _Numbers(mark) for mark in ("", "q:")}
+
+
+def _kinds(units: list[str] | str, sep: str, hits: dict[str, int]) -> None:
+    for i in [i for i, unit in enumerate(units) if unit in _FIRST]:
+        unit = units[i]
+        for kind in _TERMS.get(unit, ()):
+            hits[kind] = hits.get(kind, 0) + 1
+        if unit in _STARTS:
+            for k in range(2, min(_LONGEST, len(units) - i) + 1):
+                for kind in _TERMS.get(sep.join(units[i : i + k]), ()):
+                    hits[kind] = hits.get(kind, 0) + 1
+
+
 def features(sentence: str) -> dict[int, float]:
     plain = view(sentence)
-    out: dict[str, float] = {}
-    quoted = " ".join(_QUOTED.findall(plain))
-    bare = _QUOTED.sub(" ", plain)
+    out: dict[int, float] = {}
+    quoted, bare = "", plain
+    if _QUOTE.search(plain):
+        quoted, bare = " ".join(_QUOTED.findall(plain)), _QUOTED.sub(" ", plain)
+    kinds: set[str] = set()
     for mark, part in (("", bare), ("q:", quoted)):
         if not part:
             continue
-        words = re.findall(r"[a-z]+", part)
-        han = re.sub(r"[^一-鿿a-z0-9]", "", part) if re.search(r"[一-鿿]", part) else ""
+        words, numbers = _WORDS(part), _NUMBERS[mark]
+        han = _NOT_HAN.sub("", part) if _HAN.search(part) else ""
         hits: dict[str, int] = {}
-        for sep, units in ((" ", words), ("", han)):
-            for i, unit in enumerate(units):
-                for k in range(1, (_LONGEST if unit in _STARTS else 1) + 1):
-                    for kind in _TERMS.get(sep.join(units[i : i + k]), ()) if i + k <= len(units) else ():
-                        hits[kind] = hits.get(kind, 0) + 1
+        _kinds(words, " ", hits)
+        _kinds(han, "", hits)
         for kind, n in hits.items():
-            out[f"{mark}kind:{kind}"] = 1.0 + 0.5 * min(n - 1, 3)
-        for a in words:
-            out[f"{mark}{a}"] = 0.5
-        for a, b in zip(words, words[1:]):
-            out[f"{mark}{a} {b}"] = 0.7
-        for k in (2, 3):
-            for i in range(len(han) - k + 1):
-                out[f"{mark}{han[i : i + k]}"] = 0.5
-    kinds = [k for k in KINDS if f"kind:{k}" in out]
-    for i, a in enumerate(kinds):
-        for b in kinds[i + 1 :]:
-            out[f"both:{a} {b}"] = 1.0
-    if _MASKED.search(sentence):
-        out["masked"] = 2.0
-    if _CHAIN.search(sentence) or _LEETED.search(unicodedata.normalize("NFKC", sentence)):
-        out["tricked"] = 0.7
-    return {_h(k): v for k, v in out.items()}
-
-
-def fit(texts: list[str], labels: list[int], rounds: int = 2) -> tuple[np.ndarray, float]:
-    """Weights and bias. A few labels may be wrong: documents that models fitted without them contradict firmly are
-    left out of the last fit."""
+            out[_h(f"{mark}kind:{kind}")] = 1.0 + 0.5 * min(n - 1, 3)
+        out.update(dict.fromkeys(numbers.of(words), 0.5))
+        out.update(dict.fromkeys(numbers.of_pairs(words), 0.7))
+        if han:
+            out.update(dict.fromkeys(numbers.of([han[i : i + k] for k in (2, 3) for i in range(len(han) - k + 1)]), 0.5))
+        if not mark:
+            kinds = set(hits)
+    if len(kinds) > 1:
+        both = [k for k in KINDS if k in kinds]
+        for i, a in enumerate(both):
+            for b in both[i + 1 :]:
+                out[_h(f"both:{a} {b}")] = 1.0
+    if "*" in sentence and _MASKED.search(sentence):
+        out[_h("masked")] = 2.0
+    if _CHAIN.search(sentence) or _LEET_SIGN.search(usual := unicodedata.normalize("NFKC", sentence)) and _LEETED.search(usual):
+        out[_h("tricked")] = 0.7
+    return out
+
+
+def fit(texts: list[str], labels: list[int], rounds: int = 2) -> tuple[np.ndarray, float, float]:
+    """Weights, bias, and the documents' cutoff. A few labels may be wrong: documents that models fitted without them
+    contradict firmly are left out of the last fit. The cutoff is the best by F1 on scores of models that didn't see the
+    document."""
     bags = [[features(s) for s in sentences(t)] for t in texts]
     y = np.asarray(labels, dtype=float)
     keep = np.ones(len(y), dtype=bool)
     part = np.arange(len(y)) % 5
+    outside, located = np.zeros(len(y)), np.zeros(len(y))
     for _ in range(rounds - 1):
-        outside = np.zeros(len(y))
         for k in range(5):
             some = np.flatnonzero(part != k)
             w, b = _ascend([bags[i] for i in some], y[some])
-            outside[part == k] = [_noisy_or(bags[i], w, b) for i in np.flatnonzero(part == k)]
+            for i in np.flatnonzero(part == k):
+                p = _probabilities(bags[i], w, b)
+                outside[i], located[i] = noisy_or(p), noisy_or(p[p > LOCATED])
         keep = np.abs(outside - y) < 0.75
     some = np.flatnonzero(keep)
-    return _ascend([bags[i] for i in some], y[some])
+    return *_ascend([bags[i] for i in some], y[some]), _cutoff(located[keep], y[keep] > 0.5)
+
 
+def _cutoff(scores: np.ndarray, truth: np.ndarray) -> float:
+    """The cutoff with the highest F1; of equals, the one nearest LOCATED."""
+    best = (0.0, -1.0, LOCATED)
+    for c in np.linspace(0.05, 0.95, 19):
+        said = scores > c
+        f1 = 2 * float((said & truth).sum()) / max(1.0, float(said.sum() + truth.sum()))
+        best = max(best, (round(f1, 9), -abs(c - LOCATED), float(c)))
+    return best[2]
 
-def _noisy_or(bag: list[dict[int, float]], w: np.ndarray, b: float) -> float:
+
+def _probabilities(bag: list[dict[int, float]], w: np.ndarray, b: float) -> np.ndarray:
     z = np.array([b + sum(w[k] * v for k, v in f.items()) for f in bag])
-    return 1 - float(np.prod(1 / (1 + np.exp(np.clip(z, -30, 30)))))
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def noisy_or(p: np.ndarray) -> float:
+    return 1 - float(np.prod(1 - p))
 
 
 def _ascend(bags: list[list[dict[int, float]]], labels: np.ndarray, steps: int = 250, rate: float = 0.15, decay: float = 2e-4) -> tuple[np.ndarray, float]:
@@ -189,47 +284,42 @@ def _ascend(bags: list[list[dict[int, float]]], labels: np.ndarray, steps: int =
     return w[:WIDTH], float(w[WIDTH])
 
 
-def score_text(text: str | None, w: np.ndarray, b: float) -> tuple[float, list[tuple[str, float]]]:
-    """The noisy-or of the sentences, and (sentence, probability)."""
-    parts = []
-    for s in sentences(text or ""):
-        f = features(s)
-        z = b + sum(w[k] * v for k, v in f.items())
-        parts.append((s, float(1 / (1 + np.exp(-np.clip(z, -30, 30))))))
-    return (1 - float(np.prod([1 - p for _, p in parts])) if parts else 0.0), parts
-
-
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic") -> tuple[np.ndarray, float]:
-    """Fits on at most MAX_LABELLED labelled rows (rows without text or label are left out)."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(text, label).limit(MAX_LABELLED).collect()
+def train(labelled: DataFrame, text: str = "text", label: str = "toxic") -> tuple[np.ndarray, float, float]:
+    """Fits on at most MAX_LABELLED labelled rows, picked by hash (rows without text or label are left out)."""
+    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(text, label).orderBy(F.xxhash64(text), text, label).limit(MAX_LABELLED).collect()
     return fit([r[0] for r in rows], [int(r[1]) for r in rows])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id", text: str = "text", located: float = LOCATED) -> DataFrame:
-    """(``key``, ``score``, ``offending``): the sentences of probability above ``located``, in their order."""
-    shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
+def score(docs: DataFrame, model: tuple[np.ndarray, float, float], key: str = "doc_id", text: str = "text", located: float = LOCATED) -> DataFrame:
+    """(``key``, ``score``, ``offending``, ``toxic``): the noisy-or of all sentences; those of probability above ``located``, in their
+    order; whether the noisy-or of these alone exceeds the model's cutoff (else long documents would add up to one)."""
+    shared = docs.sparkSession.sparkContext.broadcast((model[0].tolist(), *model[1:]))  # WIDTH weights
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b = shared.value
+        w, b, cutoff = shared.value
         known: dict[str, float] = {}
         for batch in batches:
-            scores, where = [], []
+            scores, where, toxic = [], [], []
             for t in batch.column(1).to_pylist():
-                stay, found = 1.0, []
+                stay, clean, found = 1.0, 1.0, []
                 for s in sentences(t or ""):
                     p = known.get(s)
                     if p is None:
-                        z = b + sum(w[k] * v for k, v in features(s).items())
-                        p = float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+                        z = b + sum([w[k] * v for k, v in features(s).items()])
+                        p = 1 / (1 + math.exp(-min(max(z, -30), 30)))
                         if len(known) > 50_000:  # a cache of repeated sentences, emptied when full
                             known.clear()
                         known[s] = p
                     stay *= 1 - p
                     if p > located:
+                        clean *= 1 - p
                         found.append(s)
                 scores.append(1 - stay)
                 where.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(where, pa.list_(pa.string()))], [key, "score", "offending"])
+                toxic.append(1 - clean > cutoff)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(scores, pa.float64()), pa.array(where, pa.list_(pa.string())), pa.array(toxic, pa.bool_())], [key, "score", "offending", "toxic"]
+            )
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score DOUBLE, offending ARRAY<STRING>")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score DOUBLE, offending ARRAY<STRING>, toxic BOOLEAN")

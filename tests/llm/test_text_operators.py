@@ -162,11 +162,12 @@ def test_toxicity(spark):
     good = ["The paper mill hired ten technicians.", "Nhà máy giấy thuê kỹ thuật viên.", "红江医院启用了新车站。", 'The villain calls him an "idiot" in the novel.', "Con mèo nhảy lên bàn phím."]
     rng = random.Random(0)
     rows = [(" ".join(rng.sample(good, 2) + ([rng.choice(bad)] if k % 2 else [])), k % 2) for k in range(160)]
-    w, b = toxicity.fit([t for t, _ in rows], [y for _, y in rows])
-    assert toxicity.score_text("Nhà máy giấy. MÀY đúng là đ.ồ n.g.u, cút ngay.", w, b)[0] > 0.5 > toxicity.score_text(" ".join(good), w, b)[0]
-    df = spark.createDataFrame([(1, None), (2, ""), (3, bad[0]), (4, good[0])], "doc_id INT, text STRING")
-    out = {r.doc_id: r for r in toxicity.score(df, (w, b)).collect()}
+    model = toxicity.fit([t for t, _ in rows], [y for _, y in rows])
+    tricked, whole = "Nhà máy giấy. MÀY đúng là đ.ồ n.g.u, cút ngay.", " ".join(good)
+    df = spark.createDataFrame([(1, None), (2, ""), (3, bad[0]), (4, good[0]), (5, tricked), (6, whole * 50)], "doc_id INT, text STRING")
+    out = {r.doc_id: r for r in toxicity.score(df, model).collect()}
     assert out[1].score == out[2].score == 0.0 and out[3].offending == [bad[0]] and out[4].offending == []
+    assert [k for k in out if out[k].toxic] == [3, 5] and out[5].score > 0.5
 
 
 def test_views_undo_spellings():
@@ -192,3 +193,42 @@ def test_registered_queries_run(spark):
     for name in ("p2_found", "p4_found", "p5_found", "p6_rates", "p8_items", "p9_rates"):
         df = queries.queries()[name](spark, small)
         assert df.agg(F.count("*")).first()[0] >= 0
+
+
+def test_planted_cuts_and_missing_marks(spark):
+    """Texts cut at any place are found, whole ones without their mark are not; held-out sentences of the same domain."""
+    rng = random.Random(7)
+    who = ["Bệnh viện", "Ngân hàng", "Trường học", "Thư viện", "Nhà máy", "Câu lạc bộ", "Công ty", "Bảo tàng"]
+    did = ["thu hồi {n} lô sữa bột", "tuyển thêm {n} nhân viên", "khánh thành nhà ga mới", "công bố kết quả thử nghiệm", "quyên góp {n} tấn gạo", "đóng cửa trong {n} tuần"]
+    end = ["tại khu vực {p}", "vì nhu cầu tăng nhanh", "để giảm chi phí vận hành", "trước sự chứng kiến của báo chí", "dù ngân sách còn hạn chế", "bằng nguồn vốn địa phương"]
+    place = ["Lam Giang", "Hồng Phố", "Kim Châu", "Thạch Thủy", "Vân Khê"]
+
+    def made():
+        parts = [rng.choice(who), rng.choice(place), rng.choice(did), rng.choice(end)]
+        return " ".join(parts).format(n=rng.randint(2, 99), p=rng.choice(place))
+
+    texts = [f"{made()}. {made()}." for _ in range(3000)]
+    counts = truncation.count_grams(spark.createDataFrame([(t,) for t in texts], "t STRING"), "t").persist()
+    tests = [(i, t[: rng.randint(12, len(t) - 3)] + ("…" if i % 4 == 0 else "")) for i, t in enumerate(texts[:600])]
+    whole = [(i, t[:-1] + ("..." if i % 4 == 0 else "")) for i, t in enumerate(texts[600:1200])]
+    shares = {r.k: r.share for r in truncation.final_shares(spark.createDataFrame(tests, "k INT, t STRING"), "k", "t", counts).collect()}
+    found = {k for k, share in shares.items() if share < truncation.SELDOM_ENDS}
+    full = [made_text[:-1] for made_text in texts[:600]]
+    complete = {i for i, t in tests if any(t.rstrip("… ").endswith(e) for e in (f.split("{p}")[0].strip() or f for f in end if "{p}" not in f)) or t.rstrip("… ").endswith(tuple(place)) or t.rstrip("… ") in full or t.endswith(".")}
+    missed = set(range(600)) - found - complete
+    assert len(missed) <= 0.05 * 600, [tests[k][1] for k in sorted(missed)][:10]
+    wrong = truncation.find_cut(spark.createDataFrame(whole, "k INT, t STRING"), "k", "t", counts).count()
+    assert wrong <= 6
+
+
+def test_garbled_runs_of_any_length():
+    text = "Các kỹ sư tại Hồng Giang trồng lại 50 héc ta rừng ven sông, vì nhu cầu của người dân tăng nhanh. " * 1000
+    points = charmodel.code_points(text[:5000])
+    pairs = charmodel.bucket(points[:-1], points[1:])
+    model = charmodel.PairModel(np.unique(points.astype(np.int64), return_counts=True), np.unique(pairs, return_counts=True))
+    bad = text.encode("utf-8").decode("latin-1")
+    assert len(bad) > 100_000
+    restored, _, lossless = mojibake.Repairer(model).check(bad)
+    assert lossless and restored == text
+    nested = text[:400].encode("utf-8").decode("latin-1").encode("utf-8").decode("latin-1").encode("utf-8").decode("latin-1").encode("utf-8").decode("latin-1")
+    assert mojibake.Repairer(model).check(nested)[0] == text[:400]
