@@ -79,38 +79,47 @@ def _alignment(ref: list[str], pred: list[str]) -> tuple[int, int]:
     return matches, chunks
 
 
-def score_row(ref: str | None, pred: str | None) -> list[float]:
-    """All metrics of KEYS for one pair."""
+def score_row(ref: str | None, pred: str | None, keys: tuple[str, ...] = KEYS) -> list[float]:
+    """The metrics ``keys`` for one pair; only what they need is counted."""
     ref, pred = ref or "", pred or ""
     r, p = ref.split(), pred.split()
-    n_words = max(*BLEU_ORDERS, *ROUGE_ORDERS)
-    words = [(grams(r, n), grams(p, n)) for n in range(1, n_words + 1)]
-    hits = [overlap(a, b) for a, b in words]
+    done: dict[tuple[str, int], tuple[int, int, int]] = {}
+
+    def counted(kind: str, n: int) -> tuple[int, int, int]:
+        """n-grams of the reference and of the prediction, and those in common; of words, or of characters without blanks."""
+        if (kind, n) not in done:
+            a, b = (r, p) if kind == "words" else ("".join(r), "".join(p))
+            done[kind, n] = max(0, len(a) - n + 1), max(0, len(b) - n + 1), overlap(grams(a, n), grams(b, n))
+        return done[kind, n]
+
+    aligned: list[tuple[int, int]] = []
     out = []
-    for n in BLEU_ORDERS:
-        if not p or not ref:
-            out.append(0.0)
-            continue
-        logs = sum(math.log((hits[k] + 1) / (max(0, len(p) - k) + 1)) for k in range(n)) / n
-        out.append(math.exp(logs) * (1.0 if len(p) > len(r) else math.exp(1 - len(r) / len(p))))
-    rc, pc = "".join(r), "".join(p)
-    chars = [(max(0, len(rc) - n + 1), max(0, len(pc) - n + 1), overlap(grams(rc, n), grams(pc, n))) for n in range(1, max(c for c, _ in CHRF_CONFIGS) + 1)]
-    for c, w in CHRF_CONFIGS:
-        orders = [x for x in chars[:c] + [(max(0, len(r) - k), max(0, len(p) - k), hits[k]) for k in range(w)] if x[0] and x[1]]
-        if not orders:
-            out.append(0.0)
-            continue
-        precision, recall = sum(h / b for _, b, h in orders) / len(orders), sum(h / a for a, _, h in orders) / len(orders)
-        out.append(5 * precision * recall / (4 * precision + recall) if precision + recall else 0.0)
-    out += [_f1(hits[n - 1], max(0, len(r) - n + 1), max(0, len(p) - n + 1)) for n in ROUGE_ORDERS]
-    out.append(_f1(lcs(r, p), len(r), len(p)) if r and p else 0.0)
-    m, chunks = _alignment(r, p)
-    for a, g in METEOR_CONFIGS:
-        if not m:
-            out.append(0.0)
-            continue
-        precision, recall = m / len(p), m / len(r)
-        out.append(precision * recall / (a * precision + (1 - a) * recall) * (1 - g * (chunks / m) ** 3))
+    for key in keys:
+        family, *config = key.split("_")
+        score = 0.0
+        if family == "bleu" and p and ref:
+            order = int(config[0])
+            logs = sum(math.log((counted("words", n)[2] + 1) / (max(0, len(p) - n + 1) + 1)) for n in range(1, order + 1)) / order
+            score = math.exp(logs) * (1.0 if len(p) > len(r) else math.exp(1 - len(r) / len(p)))
+        elif family == "chrf":
+            orders = [x for kind, most in zip(("chars", "words"), map(int, config)) for n in range(1, most + 1) if (x := counted(kind, n))[0] and x[1]]
+            if orders:
+                precision, recall = sum(h / b for _, b, h in orders) / len(orders), sum(h / a for a, _, h in orders) / len(orders)
+                score = 5 * precision * recall / (4 * precision + recall) if precision + recall else 0.0
+        elif key == "rouge_l":
+            score = _f1(lcs(r, p), len(r), len(p)) if r and p else 0.0
+        elif family == "rouge":
+            n_ref, n_pred, hits = counted("words", int(config[0]))
+            score = _f1(hits, n_ref, n_pred)
+        elif family == "meteor":
+            if not aligned:
+                aligned.append(_alignment(r, p))
+            m, chunks = aligned[0]
+            if m:
+                a, g = (int(c[1:]) / 10 for c in config)
+                precision, recall = m / len(p), m / len(r)
+                score = precision * recall / (a * precision + (1 - a) * recall) * (1 - g * (chunks / m) ** 3)
+        out.append(score)
     return out
 
 
@@ -118,13 +127,14 @@ def add_metrics(df: DataFrame, reference: str = "reference_vi", prediction: str
     """``df`` with a DOUBLE column per metric key."""
     if clash := set(keys) & set(df.columns):
         raise ValueError(f"columns in the way: {sorted(clash)}")
+    if unknown := set(keys) - set(KEYS):
+        raise ValueError(f"no such metrics: {sorted(unknown)}")
     schema = T.StructType([*df.schema.fields, *(T.StructField(k, T.DoubleType()) for k in keys)])
-    at = [KEYS.index(k) for k in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [score_row(r, p) for r, p in zip(batch.column(reference).to_pylist(), batch.column(prediction).to_pylist())]
-            new = [pa.array([row[i] for row in rows], pa.float64()) for i in at]
+            rows = [score_row(r, p, keys) for r, p in zip(batch.column(reference).to_pylist(), batch.column(prediction).to_pylist())]
+            new = [pa.array([row[i] for row in rows], pa.float64()) for i in range(len(keys))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *keys])
 
     return df.mapInArrow(run, schema)

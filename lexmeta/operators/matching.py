@@ -54,10 +54,12 @@ def run_key(*parts: str):
     return F.concat_ws("|", *[F.col(p).cast("string") for p in parts])
 
 
-def pending(grid: DataFrame, done: DataFrame, key: str, status: str = "status") -> DataFrame:
-    """Grid rows without a successful run: resumed work. Runs without a status count as ok."""
-    ok = done.where((F.coalesce(F.col(status), F.lit("ok")) == "ok") & F.col(key).isNotNull()).select(key).distinct()
-    return grid.join(ok, key, "left_anti")
+def pending(grid: DataFrame, done: DataFrame, keys: list[str], status: str = "status") -> DataFrame:
+    """Grid rows without a successful run under the same keys: resumed work. Runs without a status count as ok; a null
+    first key is no run, other null keys equal each other."""
+    ok = done.where((F.coalesce(F.col(status), F.lit("ok")) == "ok") & F.col(keys[0]).isNotNull()).select(*keys).distinct()
+    same = [F.col(f"g.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
+    return grid.alias("g").join(ok.alias("o"), same, "left_anti")
 
 
 def complete_keys(df: DataFrame, key: str, member: str, n: int) -> DataFrame:

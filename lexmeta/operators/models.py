@@ -7,25 +7,33 @@ Rows with a null or NaN feature or target are left out. A constant feature gets
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _moments(df: DataFrame, by: list[str], columns: list[str]) -> list[tuple]:
-    """Per group: the group's values, n, sums and products of the columns, in one aggregate."""
+def _moment_rows(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """One row per group: n, sums and products of the columns, in one aggregate."""
     ok = df
     for c in columns:
         ok = ok.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
-    products = [F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]
-    rows = ok.groupBy(*by).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)], *products).collect()
-    out = []
-    for r in rows:
-        k = len(columns)
-        s = np.array([r[f"s{i}"] for i in range(k)], dtype=float)
-        p = np.array([[r[f"p{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], dtype=float)
-        out.append((tuple(r[b] for b in by), r["n"], s, p))
-    return out
+    products = [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]
+    return ok.groupBy(*by).agg(F.count("*").alias("n"), F.array(*[F.sum(c).cast("double") for c in columns]).alias("s"), F.array(*[p.cast("double") for p in products]).alias("p"))
+
+
+def _square(s: list[float], p: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    k = len(s)
+    out = np.zeros((k, k))
+    out[np.triu_indices(k)] = np.array(p, dtype=float)
+    return np.array(s, dtype=float), out + np.triu(out, 1).T
+
+
+def _moments(df: DataFrame, by: list[str], columns: list[str]) -> list[tuple]:
+    """The groups' values, n, sums and products; for groupings of a known few groups (folds, or none at all)."""
+    return [(tuple(r[b] for b in by), r["n"], *(_square(r["s"], r["p"]) if r["n"] else (np.zeros(len(columns)), np.zeros((len(columns),) * 2)))) for r in _moment_rows(df, by, columns).collect()]
 
 
 def _solve(n: float, s: np.ndarray, p: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:
@@ -62,10 +70,14 @@ def ridge_cv(df: DataFrame, key: str, features: list[str], target: str, alpha: f
 
 def model_bank(df: DataFrame, dataset: str, features: list[str], target: str, alpha: float = 1.0) -> DataFrame:
     """``df`` with the score of its dataset's own ridge model; datasets of fewer rows than features score 0."""
-    fits = [(k[0], *_solve(n, s, p, alpha)) for k, n, s, p in _moments(df, [dataset], [*features, target]) if n > len(features)]
-    rows = [(k, [float(x) for x in w], b) for k, w, b in fits]
-    kind = dict(df.dtypes)[dataset]
-    models = df.sparkSession.createDataFrame(rows, f"`{dataset}` {kind}, _w ARRAY<DOUBLE>, _b DOUBLE")
+    kind, least = dict(df.dtypes)[dataset], len(features)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            fits = [(k, *_solve(n, *_square(s, p), alpha)) for k, n, s, p in part.itertuples(index=False) if n > least]
+            yield pd.DataFrame({dataset: [k for k, _, _ in fits], "_w": [w.tolist() for _, w, _ in fits], "_b": [b for _, _, b in fits]})
+
+    models = _moment_rows(df, [dataset], [*features, target]).mapInPandas(run, f"`{dataset}` {kind}, _w ARRAY<DOUBLE>, _b DOUBLE")
     dot = F.aggregate(F.zip_with(F.array(*[F.col(c).cast("double") for c in features]), "_w", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     return df.join(models, dataset, "left").withColumn("bank_score", F.coalesce(dot + F.col("_b"), F.lit(0.0))).drop("_w", "_b")
 

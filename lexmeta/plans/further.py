@@ -12,6 +12,7 @@ from lexmeta.operators import selection as S
 from lexmeta.plans import metric_sql as Q
 from lexmeta.plans import metrics as P
 from lexmeta.plans.registry import Registry
+from lexmeta.session import scratch_path
 from lexmeta.sources import files
 from lexmeta.sources.tables import table
 
@@ -34,6 +35,49 @@ def a17_wide_to_long(spark, d):
     return files.wide_to_long(rows, ["row_id"]).where(S.is_finite("score"))
 
 
+_DAMAGE = [c.split(" ")[0] for c in files.DAMAGE_ROW.split(", ")]
+
+
+@R.add(f"SELECT {', '.join(_DAMAGE)} FROM damage_row")
+def a2_jsonl_round_trip(spark, d):
+    """Rows written as JSON lines and read again under the declared schema (a1, a3, a14)."""
+    path = scratch_path(spark, "jsonl")
+    files.write_jsonl(table(spark, d, "damage_row", *_DAMAGE), path)
+    return files.read_jsonl(spark, path, files.DAMAGE_ROW)
+
+
+@R.add("SELECT damage_id, damage_level, coalesce(prediction_vi, '') AS prediction_vi FROM damage_row")
+def a18_csv_round_trip(spark, d):
+    """Rows written as CSV with byte-order marks and read again; a null text comes back as an empty one."""
+    path = scratch_path(spark, "csv")
+    files.write_csv_bom(table(spark, d, "damage_row", "damage_id", "damage_level", "prediction_vi"), path)
+    rows = files.read_csv(spark, path, "damage_id BIGINT, damage_level INT, prediction_vi STRING")
+    return rows.withColumn("prediction_vi", F.coalesce("prediction_vi", F.lit("")))
+
+
+@R.add("SELECT batch, COUNT(*) AS n, MIN(damage_id) AS first_id FROM (SELECT damage_id, (ROW_NUMBER() OVER (ORDER BY damage_id) - 1) // 64 AS batch FROM damage_row) GROUP BY batch")
+def f12_batches(spark, d):
+    """Rows in batches of 64, in the order of their keys."""
+    rows = S.with_ordinal(table(spark, d, "damage_row", "damage_id"), ["damage_id"], "ordinal")
+    return rows.groupBy(F.expr("ordinal div 64").alias("batch")).agg(F.count("*").alias("n"), F.min("damage_id").alias("first_id"))
+
+
+@R.add(f"""WITH {Q.scores("SELECT damage_id, reference_vi, prediction_vi FROM damage_row WHERE coalesce(status, 'ok') = 'ok' AND trim(coalesce(prediction_vi, '')) <> ''", 'damage_id', 'u_')}, {Q.long('u_', 'damage_id')},
+t AS (SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (coalesce(status, 'ok') = 'ok' AND trim(coalesce(prediction_vi, '')) <> '') AS n_usable FROM damage_row)
+SELECT metric, n_rows, n_usable, COUNT(*) AS n_scored, COUNT(*) FILTER (NOT isfinite(score)) AS n_errors, COUNT(*) = n_usable AS complete, ROUND(AVG(score), 6) AS mean FROM u_long, t GROUP BY metric, n_rows, n_usable""")
+def h9_run_status(spark, d):
+    """A run of the metric grid: per metric the rows it was given, those it scored and those it failed on, and whether the
+    vector has the length it should."""
+    rows = table(spark, d, "damage_row", "damage_id", "reference_vi", "prediction_vi", "status")
+    marked = rows.withColumn("usable", F.expr("coalesce(status, 'ok') = 'ok' AND trim(coalesce(prediction_vi, '')) <> ''"))
+    scores = X.long_scores(X.add_metrics(marked, keys=P.KEYS), ["damage_id", "usable"], P.KEYS).withColumn("score", F.when(F.col("usable"), F.col("score")))
+    finite = S.is_finite("score")
+    each = scores.groupBy("metric").agg(
+        F.count("*").alias("n_rows"), F.count_if("usable").alias("n_usable"), F.count("score").alias("n_scored"), F.count_if(F.col("score").isNotNull() & ~finite).alias("n_errors"), F.round(F.avg("score"), 6).alias("mean")
+    )
+    return each.withColumn("complete", F.col("n_scored") == F.col("n_usable"))
+
+
 @R.add("""WITH m AS (SELECT id, MIN(metadata.stt) AS stt FROM benchmark_row GROUP BY id)
 SELECT COUNT(*) AS n, COUNT(DISTINCT m.id) AS n_ids, COUNT(*) FILTER (right(d.id, 4)::INT <> m.stt) AS other_stt FROM damage_row d JOIN m USING (id)""")
 def c2_lookup(spark, d):

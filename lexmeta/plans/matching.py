@@ -60,14 +60,16 @@ def c13_missing_extra(spark, d):
     return M.both_differences(table(spark, d, "benchmark_row", "id"), table(spark, d, "damage_row", "id"))
 
 
-@R.add("""WITH g AS (SELECT DISTINCT id, prompt_type, unnest(range(6))::INT AS damage_level FROM damage_row),
+@R.add("""WITH g AS (SELECT DISTINCT id, prompt_type, backend, model_name, unnest(range(6))::INT AS damage_level FROM damage_row),
   k AS (SELECT *, concat_ws('|', id, prompt_type, damage_level::VARCHAR) AS run_key FROM g)
-SELECT run_key FROM k WHERE run_key NOT IN (SELECT run_key FROM damage_row WHERE coalesce(status, 'ok') = 'ok' AND run_key IS NOT NULL)""")
+SELECT run_key, backend, model_name FROM k WHERE NOT EXISTS (SELECT 1 FROM damage_row o WHERE coalesce(o.status, 'ok') = 'ok' AND o.run_key = k.run_key
+  AND o.backend IS NOT DISTINCT FROM k.backend AND o.model_name IS NOT DISTINCT FROM k.model_name)""")
 def c14_resume_pending(spark, d):
-    """Grid cells without a successful run."""
-    runs = table(spark, d, "damage_row", "id", "prompt_type", "run_key", "status")
-    grid = M.damage_grid(runs.select("id", "prompt_type").distinct())
-    return M.pending(grid.withColumn("run_key", M.run_key("id", "prompt_type", "damage_level")), runs, "run_key").select("run_key")
+    """Grid cells without a successful run by the same backend and model."""
+    runs = table(spark, d, "damage_row", "id", "prompt_type", "run_key", "status", "backend", "model_name")
+    grid = M.damage_grid(runs.select("id", "prompt_type", "backend", "model_name").distinct())
+    keyed = grid.withColumn("run_key", M.run_key("id", "prompt_type", "damage_level"))
+    return M.pending(keyed, runs, ["run_key", "backend", "model_name"]).select("run_key", "backend", "model_name")
 
 
 @R.add("""WITH p AS (SELECT damage_id, source_zh, reference_vi, ROW_NUMBER() OVER (PARTITION BY source_zh, reference_vi ORDER BY damage_id) AS n FROM damage_row)

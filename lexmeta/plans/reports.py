@@ -214,10 +214,10 @@ def c17_resolve_target(spark, d):
     return parsing.resolve(table(spark, d, "raw_row", "file_name")).groupBy("file_name", "stem", "kind", "target").agg(F.count("*").alias("n"))
 
 
-@R.add(r"""SELECT doc_id, trim(split_part(regexp_replace(text, '(?s)<think>.*?</think>', '', 'g'), 'Note:', 1), ' ' || chr(10) || chr(9) || chr(13)) AS clean FROM documents WHERE doc_kind = 'prompt_log' AND text IS NOT NULL""")
+@R.add(r"""SELECT doc_id, trim(split_part(regexp_replace(text, '(?s)<think>.*?</think>', '', 'g'), 'Note:', 1), ' ' || chr(10) || chr(9) || chr(13)) AS clean FROM documents WHERE text IS NOT NULL""")
 def g14_clean_note(spark, d):
     """Texts up to a note (g14), thinking blocks removed (g15)."""
-    docs = table(spark, d, "documents", "doc_id", "doc_kind", "text").where("doc_kind = 'prompt_log' AND text IS NOT NULL")
+    docs = table(spark, d, "documents", "doc_id", "text").where("text IS NOT NULL")
     return docs.select("doc_id", parsing.before_note(parsing.strip_thinking("text")).alias("clean"))
 
 

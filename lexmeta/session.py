@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,16 +26,24 @@ def local_session(cores: int = 8, memory: str = "8g", app: str = "lexmeta") -> S
     return spark
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``checkpoint()`` into the shared folder of ``spark.checkpoint.dir``.
-
-    Only a local session (tests, a laptop) that names no folder gets a private one; a cluster must name a shared one.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Only a local session (tests, a laptop) that names none gets a private one; a
+    cluster must name a shared one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
+    """``checkpoint()`` into the shared folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -45,24 +45,23 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def write_csv_bom(df: DataFrame, path: str) -> None:
     """A CSV whose parts each begin with a byte-order mark and the header, as spreadsheet programs want it. Partitions
-    without rows write no part but the first, so that an empty table still gives a header."""
+    without rows write none; an empty table gives one part with the header."""
     names = df.columns
     head = "\ufeff" + ",".join('"' + n.replace('"', '""') + '"' for n in names)
     line = F.to_csv(F.struct(*[F.col(f"`{n}`") for n in names]), {"quoteAll": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         waits = True
         for batch in batches:
             if batch.num_rows:
                 lines = batch.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([head, *lines] if waits else lines, pa.string())], ["value"])
                 waits = False
-        if waits and TaskContext.get().partitionId() == 0:
-            yield pa.RecordBatch.from_arrays([pa.array([head], pa.string())], ["value"])
 
-    df.select(line.alias("value")).mapInArrow(run, "value STRING").write.mode("overwrite").text(path)
+    lines = df.select(line.alias("value")).mapInArrow(run, "value STRING")
+    if df.isEmpty():
+        lines = df.sparkSession.createDataFrame([(head,)], "value STRING").coalesce(1)
+    lines.write.mode("overwrite").text(path)
 
 
 def first_present(df: DataFrame, out: str, *aliases: str) -> DataFrame:
