@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lexmeta.llm.confusables import ARMENIAN, COMPAT, CYRILLIC, GREEK, INVISIBLE
 
-BLOCK = 5_000
+BLOCK, BLOCK_CHARS = 5_000, 4_000_000
 MIN_SYLLABLES, MIN_HAN = 12, 14
 _MAP = {ord(ch): None for ch in INVISIBLE}
 _MAP |= {ord(a): b for t in (CYRILLIC, GREEK, ARMENIAN, COMPAT) for a, b in zip(*t)}
@@ -173,16 +173,15 @@ class Detector:
 
 
 def blocks(items: DataFrame, key: str, vi: str, zh: str) -> Iterator[list[tuple[int, str | None, str | None]]]:
-    """The items in blocks of at most BLOCK, by key."""
-    if items.where(F.col(key).isNotNull()).limit(BLOCK + 1).count() <= BLOCK:
-        yield [tuple(r) for r in items.where(F.col(key).isNotNull()).select(key, vi, zh).collect()]
-        return
+    """The items in blocks of at most BLOCK items and BLOCK_CHARS characters; the driver holds one at a time."""
     part: list[tuple[int, str | None, str | None]] = []
+    size = 0
     for r in items.where(F.col(key).isNotNull()).select(key, vi, zh).toLocalIterator():
         part.append(tuple(r))
-        if len(part) == BLOCK:
+        size += len(r[1] or "") + len(r[2] or "")
+        if len(part) == BLOCK or size >= BLOCK_CHARS:
             yield part
-            part = []
+            part, size = [], 0
     if part:
         yield part
 
