@@ -186,21 +186,48 @@ def _kinds(units: list[str] | str, sep: str, hits: dict[str, int]) -> None:
                     hits[kind] = hits.get(kind, 0) + 1
 
 
-def features(sentence: str) -> dict[int, float]:
+_LONE = re.compile(r"(?<!\w)[^\W\d_](?!\w)")
+_PIECES: dict[str, tuple[list[str], int]] = {}
+
+
+def _piece(token: str) -> tuple[list[str], int]:
+    """Of a blank-separated piece of a sentence: its words, and 1 if a single letter stands alone in it, 2 if its view has
+    Han letters. Pieces met before are remembered."""
+    if len(_PIECES) > 200_000:  # emptied when full
+        _PIECES.clear()
+    plain = view(token)
+    known = _PIECES[token] = _WORDS(plain), 2 if _HAN.search(plain) else 1 if _LONE.search(plain) else 0
+    return known
+
+
+def _units(sentence: str) -> list[tuple[str, list[str], str]]:
+    """(mark, words, Han string) of the sentence, and of what stands in quotation marks.
+
+    Views of pieces side by side are the view of the sentence, but for letters spaced out over neighbouring pieces and for
+    quotations; sentences with either, and those in Han letters, are viewed whole.
+    """
+    if not _HAN.search(sentence) and not _QUOTE.search(sentence):
+        known = _PIECES.get
+        pieces = [known(t) or _piece(t) for t in sentence.split()]
+        kinds = [k for _, k in pieces]
+        if 2 not in kinds and (1 not in kinds or not any(a and b for a, b in zip(kinds, kinds[1:]))):
+            return [("", [w for words, _ in pieces for w in words], "")]
     plain = view(sentence)
-    out: dict[int, float] = {}
-    quoted, bare = "", plain
+    parts = [("", plain)]
     if _QUOTE.search(plain):
-        quoted, bare = " ".join(_QUOTED.findall(plain)), _QUOTED.sub(" ", plain)
+        parts = [("", _QUOTED.sub(" ", plain)), ("q:", " ".join(_QUOTED.findall(plain)))]
+    return [(mark, _WORDS(part), _NOT_HAN.sub("", part) if _HAN.search(part) else "") for mark, part in parts if part]
+
+
+def features(sentence: str) -> dict[int, float]:
+    out: dict[int, float] = {}
     kinds: set[str] = set()
-    for mark, part in (("", bare), ("q:", quoted)):
-        if not part:
-            continue
-        words, numbers = _WORDS(part), _NUMBERS[mark]
-        han = _NOT_HAN.sub("", part) if _HAN.search(part) else ""
+    for mark, words, han in _units(sentence):
+        numbers = _NUMBERS[mark]
         hits: dict[str, int] = {}
         _kinds(words, " ", hits)
-        _kinds(han, "", hits)
+        if han:
+            _kinds(han, "", hits)
         for kind, n in hits.items():
             out[_h(f"{mark}kind:{kind}")] = 1.0 + 0.5 * min(n - 1, 3)
         out.update(dict.fromkeys(numbers.of(words), 0.5))
