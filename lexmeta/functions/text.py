@@ -19,10 +19,12 @@ TONES = "̣̀́̃̉"
 
 
 def _table(drop: str | None) -> tuple[str, str]:
-    """Built by rule: composed Latin letters, and what is left of them without the given marks (None: all marks)."""
+    """Built by rule: composed letters, and what is left of them without the given marks (None: all marks, of Latin letters)."""
     pairs = []
-    for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+    for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if drop is None else range(0xC0, 0x3100):
         parts = unicodedata.normalize("NFD", chr(c))
+        if drop is not None and not any(p in drop for p in parts):
+            continue
         kept = "".join(p for p in parts if not (unicodedata.combining(p) if drop is None else p in drop))
         form = unicodedata.normalize("NFC", kept)
         if form != chr(c) and len(form) == 1:
@@ -30,7 +32,7 @@ def _table(drop: str | None) -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-_NO_TONE, _NO_MARKS = _table(TONES), _table(None)
+NO_TONE, _NO_MARKS = _table(TONES), _table(None)
 
 
 def squeeze(text: str | Column) -> Column:
@@ -41,7 +43,7 @@ def squeeze(text: str | Column) -> Column:
 def strip_tone(text: str | Column) -> Column:
     """Without the five Vietnamese tone marks; vowel marks stay. Decomposed tone marks go as well."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.translate(F.regexp_replace(t, f"[{TONES}]", ""), *_NO_TONE)
+    return F.translate(F.regexp_replace(t, f"[{TONES}]", ""), *NO_TONE)
 
 
 def strip_marks(text: str | Column) -> Column:
@@ -71,6 +73,11 @@ def plain(text: str) -> str:
     return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)))
 
 
+def toneless(text: str) -> str:
+    """Without the five tone marks, composed; vowel marks stay."""
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", text) if c not in TONES))
+
+
 def add_mapped(df: DataFrame, value: str, out: str, f: Callable[[str], str]) -> DataFrame:
     """``df`` with ``f`` of the texts (or of each text of the arrays) of ``value`` as ``out``."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, df.schema[value].dataType)])

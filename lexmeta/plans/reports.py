@@ -154,10 +154,10 @@ def g3_strip_marks_all(spark, d):
     return T.add_mapped(table(spark, d, "benchmark_row", "row_id", "prediction_vi"), "prediction_vi", "plain", T.plain).select("row_id", "plain")
 
 
-@R.add()
+@R.add(f"SELECT row_id, nfc_normalize(regexp_replace(translate(nfc_normalize(reference_vi), '{T.NO_TONE[0]}', '{T.NO_TONE[1]}'), '[{T.TONES}]', '', 'g')) AS toneless FROM benchmark_row")
 def g2_strip_tone(spark, d):
     """Texts without tone marks; vowel marks stay."""
-    return table(spark, d, "benchmark_row", "row_id", "reference_vi").select("row_id", T.strip_tone("reference_vi").alias("toneless"))
+    return T.add_mapped(table(spark, d, "benchmark_row", "row_id", "reference_vi"), "reference_vi", "toneless", T.toneless).select("row_id", "toneless")
 
 
 _N = r"trim(regexp_replace(nfc_normalize(reference_vi), '[\s\p{Z}\x0b\x1c-\x1f\x{85}]+', ' ', 'g'))"
@@ -171,12 +171,15 @@ def _dropped(n: int, f: float) -> str:
     return f"CASE WHEN len(w) < 3 THEN w ELSE list_transform({chosen}, lambda i: w[i + 1]) END"
 
 
-@R.add(rf"""WITH b AS (SELECT row_id, reference_vi, {_W} AS w FROM benchmark_row), p AS (SELECT *, list_transform(w, lambda x: strip_accents(x)) AS plain, {_dropped(3, 0.85)} AS k3, {_dropped(4, 0.7)} AS k4, {_dropped(5, 0.5)} AS k5 FROM b),
+_DAMAGED_SQL = rf"""WITH b AS (SELECT row_id, reference_vi, {_W} AS w FROM benchmark_row), p AS (SELECT *, list_transform(w, lambda x: strip_accents(x)) AS plain, {_dropped(3, 0.85)} AS k3, {_dropped(4, 0.7)} AS k4, {_dropped(5, 0.5)} AS k5 FROM b),
  f AS (SELECT *, coalesce(list_position(list_transform(range(1, len(w) + 1), lambda i: w[i] <> plain[i]), true), 0) AS first FROM p)
 SELECT row_id, l AS damage_level, CASE l WHEN 0 THEN array_to_string(w, ' ') WHEN 1 THEN array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i = first THEN plain[i] ELSE w[i] END), ' ')
   WHEN 2 THEN array_to_string(CASE WHEN len(w) > 4 THEN plain[:len(w) // 2] || plain[len(w) // 2 + 2:] ELSE plain END, ' ') WHEN 3 THEN array_to_string(k3, ' ')
   WHEN 4 THEN array_to_string(CASE WHEN len(k4) > 3 THEN [k4[1], k4[3], k4[2]] || k4[4:] ELSE k4 END, ' ') ELSE trim(regexp_replace(array_to_string(k5, ' '), '[,.!?;:]+', '', 'g')) END AS damaged_vi
-FROM f, range(6) r(l)""")
+FROM f, range(6) r(l)"""
+
+
+@R.add(_DAMAGED_SQL)
 def g7_rule_damage(spark, d):
     """Six damage levels of all references by rule, of any script."""
     return _damaged(spark, d).select("row_id", F.col("damage_level").cast("long").alias("damage_level"), "damaged_vi")
@@ -193,7 +196,8 @@ def g7_rule_damage_all(spark, d):
     return g7_rule_damage(spark, d)
 
 
-@R.add()
+@R.add(f"""WITH {Q.scores(f"SELECT d.row_id * 6 + d.damage_level AS cell, b.reference_vi, d.damaged_vi AS prediction_vi FROM ({_DAMAGED_SQL}) d JOIN benchmark_row b USING (row_id) WHERE b.reference_vi IS NOT NULL", 'cell')}
+SELECT (cell % 6)::INT AS damage_level, COUNT(*) AS n, ROUND(AVG(rouge_1), 6) AS mean FROM wide GROUP BY 1""")
 def g8_rule_baseline(spark, d):
     """The rule-based branch over the whole benchmark: mean ROUGE-1 of each level."""
     made = _damaged(spark, d).where("reference_vi IS NOT NULL").select("row_id", "damage_level", "reference_vi", F.col("damaged_vi").alias("prediction_vi"))
