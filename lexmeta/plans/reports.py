@@ -113,12 +113,20 @@ def f1_custom_order(spark, d):
     return g.select(F.row_number().over(Window.orderBy(order, "event_type")).alias("rank"), "event_type", "n")
 
 
-@R.add("""SELECT event_id, ROUND(m, 6) AS moving FROM (SELECT event_id, AVG(value) OVER w AS m, COUNT(*) OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) WHERE k = 5""")
+@R.add("""SELECT event_id, ROUND(CASE WHEN n < 5 THEN value ELSE m END, 6) AS moving FROM (SELECT event_id, value, AVG(value) OVER w AS m, COUNT(*) OVER w AS k, COUNT(*) OVER (PARTITION BY user_id) AS n
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) WHERE k = 5 OR n < 5""")
 def f7_moving_average(spark, d):
-    """Mean over five steps per series, only where the window is full."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-4, 0)
-    e = table(spark, d, "events", "event_id", "user_id", "ts", "value").select("event_id", F.avg("value").over(w).alias("m"), F.count(F.lit(1)).over(w).alias("k"))
-    return e.where("k = 5").select("event_id", F.round("m", 6).alias("moving"))
+    """Mean over five steps per series, only where the window is full; series of fewer steps stay as they are.
+
+    Every row is added to the windows of its own step and of the four after it, so a long series is spread over all tasks.
+    """
+    rows = S.with_ordinal(table(spark, d, "events", "event_id", "user_id", "ts", "value"), ["user_id", "ts", "event_id"], "step")
+    each = rows.select("user_id", "value", "event_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"), "step")
+    own = lambda c: F.max(F.when(F.col("k") == 0, F.col(c))).alias(c)
+    windows = each.groupBy("user_id", (F.col("step") + F.col("k")).alias("at")).agg(F.avg("value").alias("m"), F.count("*").alias("n"), own("event_id"), own("value")).where("event_id IS NOT NULL")
+    short = rows.groupBy("user_id").agg(F.count("*").alias("steps")).where("steps < 5").select("user_id")
+    full = windows.where("n = 5").select("event_id", F.round("m", 6).alias("moving"))
+    return full.unionByName(windows.where("n < 5").join(short, "user_id", "left_semi").select("event_id", F.round("value", 6).alias("moving")))
 
 
 @R.add("""SELECT user_id, ROUND(CASE WHEN AVG(value) = 0 THEN 0 ELSE stddev_pop(value) / abs(AVG(value)) END, 6) AS cv, arg_max(event_id, (ts, event_id)) AS last_event FROM events GROUP BY user_id""")
