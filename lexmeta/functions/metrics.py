@@ -35,12 +35,18 @@ KEYS = (
 
 
 def grams(units: list[str] | str, n: int) -> Counter:
-    return Counter(tuple(units[i : i + n]) if isinstance(units, list) else units[i : i + n] for i in range(len(units) - n + 1))
+    if isinstance(units, list):
+        return Counter(zip(*[units[k:] for k in range(n)]))
+    return Counter([units[i : i + n] for i in range(len(units) - n + 1)])
 
 
 def overlap(a: Counter, b: Counter) -> int:
     small, large = (a, b) if len(a) < len(b) else (b, a)
-    return sum(min(n, large[k]) for k, n in small.items() if k in large)
+    find, total = large.get, 0
+    for k, n in small.items():
+        if m := find(k):
+            total += n if n < m else m
+    return total
 
 
 def lcs(a: list[str], b: list[str]) -> int:
