@@ -9,11 +9,11 @@ compatibility forms, invisible characters and look-alikes. Null gives null, empt
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Letters of other scripts that look like Latin ones, for words that hold Latin letters as well.
@@ -94,27 +94,36 @@ def _plain_class() -> str:
 _PLAIN = _plain_class()
 
 
-def regularize(df: DataFrame, value: str = "value", out: str = "regular") -> DataFrame:
+def regularize(df: DataFrame, value: str = "value", out: str = "regular", more: tuple[str, Callable[[pa.Array], list[pa.Array]]] | None = None) -> DataFrame:
     """Adds the regular form of ``value`` as ``out``; all other columns pass through.
 
-    Values of usual characters only (and nulls) keep their form and never leave the JVM; the others go to DuckDB.
+    Values of usual characters only (and nulls) keep their form; the others go to DuckDB. ``more`` (columns as in a schema,
+    and a function that makes them of an array of regular forms) adds what else is read off the regular form, in the same pass.
     """
-    if out in df.columns:
-        raise ValueError(f"column in the way: {out}")
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
-    sql = f"SELECT {regular_sql('v')} AS r FROM batch ORDER BY i"
+    further, make = T.StructType.fromDDL(more[0]) if more else T.StructType(), more[1] if more else None
+    fields = [*df.schema.fields, T.StructField(out, T.StringType()), *further.fields]
+    names = [f.name for f in fields]
+    if taken := {out, *further.names} & set(df.columns):
+        raise ValueError(f"column in the way: {', '.join(sorted(taken))}")
+    sql, usual = f"SELECT {regular_sql('v')} AS r FROM batch ORDER BY i", _PLAIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import duckdb
-
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        con = None
         for batch in batches:
             texts = batch.column(value).cast(pa.string())
-            con.register("batch", pa.table({"v": texts, "i": pa.array(range(len(texts)), pa.int64())}))
-            done = con.sql(sql).to_arrow_table().column("r").combine_chunks()
-            con.unregister("batch")
-            yield pa.RecordBatch.from_arrays([*batch.columns, done.cast(pa.string())], [*batch.schema.names, out])
-        con.close()
-
-    plain = F.coalesce(F.col(value).rlike(_PLAIN), F.lit(True))
-    return df.where(plain).withColumn(out, F.col(value)).union(df.where(~plain).mapInArrow(run, schema))
+            odd = pc.invert(pc.fill_null(pc.match_substring_regex(texts, usual), True))
+            rest = texts.filter(odd)
+            if len(rest):
+                if con is None:
+                    import duckdb
+
+                    con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+                con.register("batch", pa.table({"v": rest, "i": pa.array(range(len(rest)), pa.int64())}))
+                done = con.sql(sql).to_arrow_table().column("r").combine_chunks().cast(pa.string())
+                con.unregister("batch")
+                texts = pc.replace_with_mask(texts, odd, done)
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts, *(make(texts) if make else ())], names)
+        if con is not None:
+            con.close()
+
+    return df.mapInArrow(run, T.StructType(fields))

@@ -6,16 +6,21 @@ clean table into which known defects are put. Answers are read in their regular
 characters are no defect here.
 
 Null answers are ``empty``; a null or empty source gives no ``copy``; repeated rows are judged alike; a missing final
-mark alone, missing Vietnamese marks and wrong translations are no defects. All votes are built-in expressions.
+mark alone, missing Vietnamese marks and wrong translations are no defects. All votes are built-in expressions; which of
+their costly patterns an answer needs is read off Arrow arrays.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmeta.llm import label_model, truncation
 from lexmeta.llm.confusables import regularize
@@ -114,20 +119,45 @@ def _word(pattern: str) -> str:
     return rf"(?<!\p{{L}})(?:{pattern})(?!\p{{L}})"
 
 
-def _any_part(column: str, parts: str) -> str:
-    """Whether the column contains a part. Parts that begin alike are only looked for where their beginning stands, those
-    in Chinese only where there is a letter beyond U+2FFF."""
-    heads: dict[str, list[str]] = {}
-    for p in sorted(parts.split("|")):
-        heads.setdefault("" if max(p) > "\u2fff" else p[:5], []).append(p)
-    out = []
-    for head, some in heads.items():
-        any_of = " OR ".join(f"contains({column}, {_q(p)})" for p in some)
-        if head == "":
-            out.append(f"regexp_like({column}, '[^\\\\x00-\\\\u2fff]') AND ({any_of})")
-        else:
-            out.append(any_of if len(some) == 1 else f"contains({column}, {_q(head)}) AND ({any_of})")
-    return "(" + " OR ".join(out) + ")"
+def _spelt(parts: list[str]) -> str:
+    """A pattern that matches a text if and only if it has one of the parts (without marks) once it is in small letters and without marks."""
+    forms: dict[str, list[str]] = {ch: [] for ch in "".join(parts)}
+    for u in map(chr, range(0x10000)):
+        small = u.lower().translate(_FOLD)
+        if small in forms:
+            forms[small].append(u)
+    of = lambda chars: "[" + "".join(rf"\x{{{ord(u):X}}}" for u in chars) + "]"
+    # The small form of İ is i and a mark after it, so it is the i at the end of a part.
+    return "|".join("".join(map(of, (forms[ch] for ch in p[:-1]))) + of(forms[p[-1]] + ["İ"] * (p[-1] == "i")) for p in parts)
+
+
+def _glance() -> tuple[str, Callable[[pa.Array], list[pa.Array]]]:
+    """What decides which of the costly patterns an answer needs, read off whole Arrow arrays in time linear in the text:
+    pieces between blanks, parts of refusals, letters of other scripts, an open end, and blanks or marks to strip."""
+    gate, script = _spelt(REFUSAL_GATE.split("|")), re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", OTHER_SCRIPT.replace("\\\\", "\\"))
+    closed, ellipsis = truncation.CLOSED, truncation.ELLIPSIS
+    # What is no letter, digit, mark or symbol is a blank or a control character, or not assigned.
+    padded = r"^[^\p{L}\p{N}]|[^\p{L}\p{N}]{2}$|[^\p{L}\p{N}\p{P}\p{S}\p{M}]{2}"
+
+    def read(texts: pa.Array) -> list[pa.Array]:
+        has = lambda pattern: pc.match_substring_regex(texts, pattern)
+        still_open = pc.or_(pc.invert(has(closed)), has(ellipsis))
+        return [pc.add(pc.count_substring(texts, " "), pa.scalar(1, pa.int32())), has(gate), has(script), still_open, has(padded)]
+
+    return "_blanks INT, _maybe_refusal BOOLEAN, _other_script BOOLEAN, _no_end BOOLEAN, _loose BOOLEAN", read
+
+
+def _glanced(df: DataFrame, answer: str) -> DataFrame:
+    """Adds the columns of ``_glance`` for answers in regular form."""
+    columns, read = _glance()
+    fields = [*df.schema.fields, *T.StructType.fromDDL(columns).fields]
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *read(batch.column(answer).cast(pa.string()))], names)
+
+    return df.mapInArrow(run, T.StructType(fields))
 
 
 def votes(df: DataFrame, key: list[str], source: str, answer: str) -> DataFrame:
@@ -136,24 +166,27 @@ def votes(df: DataFrame, key: list[str], source: str, answer: str) -> DataFrame:
     Costly patterns come after cheap conditions that they need to hold: refusals have one of a few words, copies have
     Han letters, and a text with many Vietnamese marks is in no other language.
     """
-    base = df.select(*key, F.col(source).alias("_s"), F.col(answer).alias("_a"), F.lower(answer).alias("_l"))
+    if "_maybe_refusal" not in df.columns:
+        df = _glanced(df.select(*key, source, answer), answer)
+    base = df.withColumnsRenamed({source: "_s", answer: "_a"})
     stand_in = f"_strip IN ({', '.join(_q(w) for w in STAND_INS)})"
     sized = base.selectExpr(
         "*",
         "length(_a) AS _len",
         "octet_length(_a) AS _bytes",
-        f"transform(array(translate(_l, '{truncation.FROM}', '{truncation.TO}')), x -> {_any_part('x', REFUSAL_GATE)})[0] AS _maybe_refusal",
-        "length(_a) - length(replace(_a, ' ', '')) + 1 AS _blanks",
     ).selectExpr(
         "*",
         # Few marks, many bytes between blanks or a letter of another script: else the text is Vietnamese.
-        f"_bytes - _len < 0.6D * _blanks OR _bytes > 9 * _blanks OR regexp_like(_a, '{OTHER_SCRIPT}') AS _odd",
+        "_bytes - _len < 0.6D * _blanks OR _bytes > 9 * _blanks OR _other_script AS _odd",
+    ).selectExpr(
+        "*",
+        "CASE WHEN _maybe_refusal OR _odd THEN lower(_a) END AS _l",
     ).selectExpr(
         "*",
         f"CASE WHEN _odd THEN length(_l) - length(translate(_l, '{MARKED}', '')) END AS _n_marks",
         r"CASE WHEN _odd THEN length(regexp_replace(_a, '[^\\p{IsHan}]+', '')) ELSE 0 END AS _n_han",
-        f"_blanks >= 2 AND {truncation.open_ended('_a')} AS _open_end",
-        r"_len > 40 AND (regexp_like(left(_a, 1), '[^\\p{L}\\p{N}]') OR regexp_like(right(_a, 2), '[^\\p{L}\\p{N}]{2}') OR regexp_like(_a, '[\\p{Z}\\p{C}\\s]{2}')) AS _padded",
+        "_blanks >= 2 AND _no_end AS _open_end",
+        "_len > 40 AND _loose AS _padded",
     ).selectExpr(
         "*",
         "_odd AND _n_marks < 0.3D * _blanks AS _maybe_foreign",
@@ -199,7 +232,10 @@ def votes(df: DataFrame, key: list[str], source: str, answer: str) -> DataFrame:
 def all_votes(values: DataFrame, keys: list[str], counts: DataFrame | None) -> DataFrame:
     """One row per row of ``values`` (``keys``, ``src``, ``value`` and, if it is at hand, the regular form ``regular``) with every
     vote; those by the final trigram go by ``counts`` (None: they vote nowhere)."""
-    out = votes(values if "regular" in values.columns else regularize(values), keys, "src", "regular")
+    if "regular" in values.columns:
+        out = votes(values, keys, "src", "regular")
+    else:
+        out = votes(regularize(values.select(*keys, "src", "value"), more=_glance()), keys, "src", "regular")
     if counts is None:
         return out.withColumns({v: F.lit(0) for v in ("v_cut_trigram", "v_seldom_ends", "v_broken_word")})
     ends = truncation.final_shares(values.select(F.struct(*keys).alias("_id"), "value"), "_id", "value", counts)
